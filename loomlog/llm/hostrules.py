@@ -85,6 +85,16 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def prior(n: int | None, f: int, k: int, q: float, n2: float) -> tuple[float, float | None]:
+    """Mean and strength (None: infinite) of the beta prior, from sums over hosts of documents, failures, 1, failures^2/documents, documents^2."""
+    if not n:
+        return 0.0, None
+    m = f / n
+    room = n - n2 / n - (k - 1)
+    between = (q - n * m * m - (k - 1) * m * (1 - m)) / room if room else 0.0
+    return m, max(0.0, m * (1 - m) / between - 1) if between > 0 else None
+
+
 def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "failed", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per host: n_docs, n_failed, host_rate (shrunk), host_bad.
 
@@ -96,43 +106,32 @@ def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "failed",
     moments = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("k"),
         F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("q"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("n2"),
-    ).withColumns({"m": F.col("f") / F.col("n")})
-    between = (F.col("q") - F.col("n") * F.col("m") * F.col("m") - (F.col("k") - 1) * F.col("m") * (1 - F.col("m"))) / F.nullif(F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1), F.lit(0.0))
-    prior = moments.select("m", between.alias("between")).select(
-        F.col("m").alias("_m"), F.when(F.col("between") > 0, F.greatest(F.lit(0.0), F.col("m") * (1 - F.col("m")) / F.col("between") - 1)).alias("_s")
-    )
-    # prior is a single row: the join key is a constant, and the row is broadcast
-    rated = hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    rate = F.when(F.col("_s").isNull(), F.col("_m")).otherwise((F.col("n_failed") + F.col("_m") * F.col("_s")) / (F.col("n_docs") + F.col("_s")))
-    return rated.withColumn("host_rate", rate).select(host, "n_docs", "n_failed", "host_rate", (F.col("host_rate") >= limit).alias("host_bad"))
+    )
+    fitted = moments.first()  # one row, whatever the number of hosts
+    m, strength = prior(*(fitted[c] for c in ("n", "f", "k", "q", "n2")))
+    rate = F.lit(m) if strength is None else (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
+    return hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") >= limit)
 
 
-RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "n_soft"]
-
-
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """docs (other columns as they are) with the rules' columns, host_rate, host_bad and kept.
+def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:
+    """One row per document, without its text: doc_id, text_hash, host, the rules' columns, host_rate, host_bad and kept.
 
     A document goes if it fails a base rule, or if its host is bad and it fails a soft rule itself: a clean document of a
-    bad host stays. Null hosts are one host. Repeated rows are judged alike, each counts. A column of docs named like one
-    of the result is replaced.
+    bad host stays. Null hosts are one host (''). Repeated rows are judged alike and each counts. Null text fails. The
+    rules are computed once and written; hosts are counted from what was written.
     """
-    rest = [c for c in docs.columns if c not in {*RULES, "host_rate", "host_bad", "kept"}]
-    judged = document_rules(docs.select(*[F.col(f"`{c}`") for c in rest]), text)
-    host_of = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
-    verdicts = host_verdicts(judged.select(host_of.alias("_host"), (F.col("base_failed") | (F.col("n_soft") > 0)).alias("failed")), "_host", limit=limit)
-    joined = judged.withColumn("_host", host_of).join(verdicts.select("_host", "host_rate", "host_bad"), "_host")
-    return joined.select(*[F.col(f"`{c}`") for c in [*rest, *RULES]], "host_rate", "host_bad", (~F.col("base_failed") & ~(F.col("host_bad") & (F.col("n_soft") > 0))).alias("kept"))
-
-
-def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:
-    """quality_rules without the texts: the rules' columns are computed once and written, hosts are counted from them."""
-    slim = written(document_rules(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text"))).drop("text"), "rules")
-    slim = slim.withColumn("host", F.coalesce("host", F.lit("")))
+    given = docs.select(F.col(f"`{id}`").alias("doc_id"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("text"))
+    slim = written(document_rules(given).withColumn("text_hash", F.xxhash64("text")).drop("text"), "rules")
     verdicts = host_verdicts(slim.select("host", (F.col("base_failed") | (F.col("n_soft") > 0)).alias("failed")), limit=limit)
     return slim.join(verdicts.select("host", "host_rate", "host_bad"), "host").withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & (F.col("n_soft") > 0)))
 
 
+def without_rejected(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs that the rules keep, columns as they are. Rows are matched by id and a hash of the text."""
+    kept = rule_table(docs, text, host, id, limit).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_hash")), "left_semi")
+
+
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return rule_table(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

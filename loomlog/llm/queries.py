@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import hostrules, packing, pii, vafile
+from . import hostrules, neardup, packing, phrases, pii, vafile
 
 QUERIES = {
+    "op1_repeated_phrases": phrases.op1_repeated_phrases,
     "op4_sum_of_squares": packing.op4_sum_of_squares,
+    "op5_setsketch": neardup.op5_setsketch,
     "op8_vector_approximation": vafile.op8_vector_approximation,
     "op9_personal_data": pii.op9_personal_data,
     "op10_host_rules": hostrules.op10_host_rules,
 }
 
-ORACLES = {"op8_vector_approximation": vafile.ORACLE, "op10_host_rules": hostrules.ORACLE}
+ORACLES = {
+    "op1_repeated_phrases": phrases.ORACLE,
+    "op5_setsketch": neardup.ORACLE,
+    "op8_vector_approximation": vafile.ORACLE,
+    "op10_host_rules": hostrules.ORACLE,
+}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, written
+from .shared import SPACES, numbered, picked, place_of, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -120,7 +120,7 @@ def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: st
     bad host stays. Null hosts are one host (''). Repeated rows are judged alike and each counts. Null text fails. The
     rules are computed once and written; hosts are counted from what was written.
     """
-    given = docs.select(F.col(f"`{id}`").alias("doc_id"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("text"))
+    given = picked(docs, doc_id=id, host=host, text=text).withColumn("host", F.coalesce(F.col("host").cast("string"), F.lit("")))
     slim = written(document_rules(given).withColumn("text_hash", F.xxhash64("text")).drop("text"), "rules")
     verdicts = host_verdicts(slim.select("host", (F.col("base_failed") | (F.col("n_soft") > 0)).alias("failed")), limit=limit)
     return slim.join(verdicts.select("host", "host_rate", "host_bad"), "host").withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & (F.col("n_soft") > 0)))
@@ -129,7 +129,8 @@ def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: st
 def without_rejected(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that the rules keep, columns as they are. Rows are matched by id and a hash of the text."""
     kept = rule_table(docs, text, host, id, limit).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_hash")), "left_semi")
+    own, body = place_of(docs, id), place_of(docs, text)
+    return numbered(docs).join(kept, F.col(own).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_hash")), "left_semi").toDF(*docs.columns)
 
 
 def op10_host_rules(spark, sf_dir: str) -> DataFrame:

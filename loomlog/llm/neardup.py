@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import gram_hashes, mixed, owners, signed, steps, word_hashes, words_of, written
+from .shared import gram_hashes, mixed, numbered, picked, place_of, signed, steps, word_hashes, words_of, written
 
 #: Registers, their base, the exponential rate and the largest register value.
 M, BASE, RATE, TOP = 112, 1.001, 20.0, 65_534
@@ -81,7 +81,7 @@ def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, regs binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, regs binary"
 
 
 def _sketcher(k: int):
@@ -91,7 +91,7 @@ def _sketcher(k: int):
             f1, f2 = fingerprints(hashes, offsets)
             regs = registers(hashes, offsets)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * M), len(regs), [None, pa.py_buffer(regs.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(signed(f1)), pa.array(signed(f2)), packed], ["doc_id", "n_shingles", "f1", "f2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(offsets)), pa.array(signed(f1)), pa.array(signed(f2)), packed], ["doc_id", "text_hash", "n_shingles", "f1", "f2", "regs"])
 
     return sketched
 
@@ -214,14 +214,14 @@ def _unresolved(rows: DataFrame, comps: DataFrame, classes: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept.
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links), text_hash (xxhash64), kept.
 
     Two documents are linked if 100 |intersection| >= percent |union| of their sets of shingles. Null and empty texts, and
     texts without words, have an empty set and are linked with nothing. Rows with a null id are in no component (null) and
     are kept. Rows that share an id but not the text are judged each by its text. Other columns play no part.
     """
-    slim = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sketches = written(slim.mapInArrow(_sketcher(shingle), SKETCH), "sketches")
+    slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sketches = written(slim.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketcher(shingle), SKETCH), "sketches")
     classes = written(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(M // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
@@ -241,13 +241,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     if not crossing.isEmpty():
         comps = components(links.union(confirm(crossing, classes, slim, shingle, percent)))
     found = classes.join(comps, F.col("rep") == F.col("node"), "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    joined = sketches.select("doc_id", "n_shingles", "f1", "f2").join(found, ["n_shingles", "f1", "f2"], "left")
+    joined = sketches.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(found, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; columns as they are.
+
+    Documents without words, and those with a null id, all stay. Of repeated rows (same id and text) one stays.
+    """
+    found = written(near_duplicates(docs, shingle, percent, id, text), "components")
+    kept = found.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    own, body = place_of(docs, id), place_of(docs, text)
+    given = numbered(docs).withColumn("_hash", F.xxhash64(body))
+    left = given.join(kept, F.col(own).cast("long").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
+    if not kept.filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
+        left = left.filter(F.col(own).isNotNull()).dropDuplicates([own, "_hash"]).union(left.filter(F.col(own).isNull()))
+    return left.drop("_hash").toDF(*docs.columns)
 
 
 def op5_setsketch(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""

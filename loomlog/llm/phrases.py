@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, owners, signed, steps, word_hashes, words_of, written
+from .shared import gram_hashes, owners, picked, signed, steps, word_hashes, words_of, written
 
 WINDOW, GRAM = 13, 5
 #: Segments of one anchor that a shard takes, and recurring windows compiled to one automaton.
@@ -251,7 +251,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     Null text has no words. Texts shorter than a window lose nothing. Rows that share an id are one document as to order:
     they never remove each other's words. Rows with a null id remove nothing and lose nothing.
     """
-    slim = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = slim.filter(F.col("doc_id").isNotNull())
     keys = written(known.mapInArrow(_keys, "doc_id long, n_words long, k1 long, k2 long"), "keys")
     classes = keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first"))

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import steps
+from .shared import numbered, picked, place_of, steps
 
 #: The kinds whose spans are fixed by the contract, in order, then those that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -149,25 +151,31 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pii_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: counts and digest of the base spans, all spans and their scores. Null text: no spans."""
-    return docs.selectExpr(f"CAST(`{id}` AS LONG) AS doc_id", f"`{text}` AS text").mapInArrow(_digest, DIGEST)
+    return picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_digest, DIGEST)
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "_text"):
-        new = [None if (t := x.as_py()) is None else redact(t) for x in batch.column("_text")]
-        at = batch.schema.get_field_index("_text")
-        yield batch.set_column(at, "_text", pa.array(new, pa.string()))
+def _redactor(column: str):
+    def redacted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, column):
+            new = [None if (t := x.as_py()) is None else redact(t) for x in batch.column(column)]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(new, pa.string()))
 
+    return redacted_rows
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, same columns and rows, with personal data in the text replaced by its kind. Null stays null."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StringType, StructField, StructType
 
-    names = docs.columns
-    given = docs.select(*[F.col(f"`{c}`").alias("_text" if c == text else f"c{i}") for i, c in enumerate(names)])
-    schema = StructType([f if f.name != "_text" else StructField("_text", StringType()) for f in given.schema])
-    return given.mapInArrow(_redacted, schema).toDF(*names)
+def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
+    """docs, same columns and rows, with personal data in the text replaced by its kind; null stays null.
+
+    A column of the name size (if there is one) gets the new text's length in characters.
+    """
+    names, at = docs.columns, place_of(docs, text)
+    given = numbered(docs)
+    schema = StructType([StructField(f.name, StringType() if f.name == at else f.dataType) for f in given.schema])
+    new = given.mapInArrow(_redactor(at), schema)
+    if size in names:
+        own = place_of(docs, size)
+        new = new.withColumn(own, F.when(F.col(at).isNull(), F.col(own)).otherwise(F.length(at).cast(schema[own].dataType)))
+    return new.toDF(*names)
 
 
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import hostrules, neardup, packing, phrases, pii, vafile
+from . import hostrules, mixing, neardup, packing, phrases, pii, quality, revisits, vafile, wordpieces
 
 QUERIES = {
     "op1_repeated_phrases": phrases.op1_repeated_phrases,
+    "op2_longest_match": wordpieces.op2_longest_match,
+    "op3_not_modified": revisits.op3_not_modified,
     "op4_sum_of_squares": packing.op4_sum_of_squares,
     "op5_setsketch": neardup.op5_setsketch,
+    "op6_quadratic_discriminant": quality.op6_quadratic_discriminant,
+    "op7_pfair": mixing.op7_pfair,
     "op8_vector_approximation": vafile.op8_vector_approximation,
     "op9_personal_data": pii.op9_personal_data,
     "op10_host_rules": hostrules.op10_host_rules,
@@ -15,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_repeated_phrases": phrases.ORACLE,
+    "op3_not_modified": revisits.ORACLE,
     "op5_setsketch": neardup.ORACLE,
     "op8_vector_approximation": vafile.ORACLE,
     "op10_host_rules": hostrules.ORACLE,

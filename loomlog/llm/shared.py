@@ -46,6 +46,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place, so that no name of its own, doubled or not, clashes with ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The name in numbered(df) of df's column of exactly that name (the first, if several)."""
+    return f"c{df.columns.index(name)}"
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """df's columns of the given names under the keywords, and nothing else: picked(df, doc_id="id", text="body")."""
+    from pyspark.sql import functions as F
+
+    return numbered(df).select(*[F.col(place_of(df, name)).alias(own) for own, name in names.items()])
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text each, one row at least."""
     for batch in batches:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -120,9 +120,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
     rows = deal(vectors, row_blocks, 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select(F.lit(1).alias("side"), "vec_id", "v", "d", F.col("own").alias("rb"), F.col("other").alias("qb"))
     asked = deal(queries, query_blocks, 2).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).select(F.lit(0).alias("side"), "vec_id", "v", "d", F.col("other").alias("rb"), F.col("own").alias("qb"))
     found = rows.unionByName(asked).groupBy("rb", "qb", "d").applyInArrow(_pair(k, bits), "query_id long, vec_id long, score long")
-    # one row per query and vector, then the k best of at most k per block, in one sorted list per query
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    # one row per query and vector; the rank filter is applied within each task before the shuffle by query
+    scores = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_vector_approximation(spark, sf_dir: str) -> DataFrame:

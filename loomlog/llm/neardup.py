@@ -8,9 +8,11 @@
 4. For each pair the likelihood of the three counts (registers of a below, equal to and above those of b), given the sets'
    sizes, is maximised over the Jaccard similarity. Only pairs far below the threshold go.
 5. The others are confirmed on the whole texts, and confirmed links joined to components.
-6. A bucket whose members are still of several components may hide links that its hub doesn't have. There, members outside
-   the largest component are compared, in blocks of bounded size, with all members of other components by the same
-   likelihood; what passes is confirmed too. So no partner is left out for the size of a bucket.
+6. All members of the buckets of one hub are a family. If they are still of several components, links may be hidden that the
+   hub doesn't have. There, each member outside the largest component is checked on whole sets against all the family, in
+   blocks of bounded size: mostly its own shingles already show that it has no link (fewer than 80 % of them occur in the
+   block); otherwise intersections are counted from the block's postings. A block returns at most one link for each component.
+   So no partner is left out for the size of a bucket, and no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ M, BASE, RATE, TOP = 112, 1.001, 20.0, 65_534
 BAND = 4
 #: Standard deviations of the estimate that a pair may lie below the threshold.
 MARGIN = 5.5
-#: Members of a confirmation group, and of a block of an unresolved bucket.
-CHUNK, BLOCK = 64, 256
+#: Members of a confirmation group; members and shingles of a block of an open family.
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 1024, 1_000_000
 
-_MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +66,10 @@ def registers(hashes: np.ndarray, offsets: np.ndarray, m: int = M) -> np.ndarray
     out = np.zeros((len(full), m), dtype=np.uint16)
     if not full.any():
         return out
-    starts = offsets[:-1][full]
+    starts, short = offsets[:-1][full], (hashes >> np.uint64(32)).astype(np.uint32)
     for i in range(m):
-        least = np.minimum.reduceat(hashes * _MULTIPLIERS[i], starts)
-        x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
+        least = np.minimum.reduceat(short * _MULTIPLIERS[i], starts)
+        x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
         out[full, i] = np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1)
     return out
 
@@ -177,40 +179,87 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return written(texts.groupBy("hub", "part").applyInArrow(_confirmer(k, percent), "a long, b long"), "links")
 
 
-def _cross_block(percent: int):
-    def crossing(table: pa.Table) -> pa.Table:
-        """Pairs of two components, one from each side of a block pair, that may be similar."""
-        left, right = (table.filter(pc.equal(table.column("side"), s)) for s in (0, 1))
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            regs_l, regs_r = _unpacked(left.column("regs")), _unpacked(right.column("regs"))
-            n_r, comp_r, rep_r = (right.column(c).to_numpy() for c in ("n_shingles", "comp", "rep"))
-            for i, (rep, comp, n) in enumerate(zip(left.column("rep").to_pylist(), left.column("comp").to_pylist(), left.column("n_shingles").to_pylist(), strict=True)):
-                other = np.flatnonzero(comp_r != comp)
-                if len(other):
-                    keep = other[_passes(np.broadcast_to(regs_l[i], (len(other), M)), regs_r[other], np.full(len(other), n), n_r[other], percent)]
-                    a += [rep] * len(keep)
-                    b += rep_r[keep].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return crossing
-
-
-def _unresolved(rows: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components within buckets, as a written table."""
-    labelled = rows.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = written(labelled.join(mixed_keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open")
-    largest = open_rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
-    sketched = open_rows.join(classes.select("rep", "n_shingles", "regs"), "rep")
-    left = open_rows.join(largest, "key").filter("comp <> main")
-    asking = left.groupBy("key").agg(F.collect_set("block").alias("asking"))  # at most the bucket's blocks
-    left = left.select("key", "rep").join(sketched, ["key", "rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = sketched.join(asking, "key").withColumn("i", F.explode("asking"))
-    names = ["rep", "comp", "n_shingles", "regs"]
-    sides = left.select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *names).union(right.select("key", "i", F.col("block").alias("j"), F.lit(1).alias("side"), *names))
-    found = sides.groupBy("key", "i", "j").applyInArrow(_cross_block(percent), "a long, b long")
-    return written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "crossing")
+class _Postings:
+    """The sets of a block by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        self.owner, self.n = owner[order], len(sets)
+        self.shingles, self.begin = np.unique(every[order], return_index=True)
+        self.count = np.diff(np.concatenate((self.begin, [len(every)])))
+
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Where the shingles of own that the block has are."""
+        at = np.minimum(np.searchsorted(self.shingles, own), max(0, len(self.shingles) - 1))
+        return at[self.shingles[at] == own] if len(self.shingles) else at[:0]
+
+    def intersections(self, at: np.ndarray) -> np.ndarray:
+        """How many of the shingles at those places each set of the block has."""
+        n = self.count[at]
+        flat = np.repeat(self.begin[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[flat], minlength=self.n)
+
+
+def _block_pair(k: int, percent: int):
+    def linked(table: pa.Table) -> pa.Table:
+        """Links between members outside the main component (side 0) and members of the family (side 1), one for each two components."""
+        sides = []
+        for side in (0, 1):
+            part = table.filter(pc.equal(table.column("side"), side)).combine_chunks()
+            sets, reps, comps = [], [], []
+            for at in range(part.num_rows):
+                own, offsets = shingle_sets(part.column("text").slice(at, 1).combine_chunks(), k)
+                if int(signed(fingerprints(own, offsets)[0])[0]) == part.column("f1")[at].as_py():  # else another text under the same id
+                    sets.append(own)
+                    reps.append(part.column("rep")[at].as_py())
+                    comps.append(part.column("comp")[at].as_py())
+            sides.append((sets, reps, comps))
+        (left, left_reps, left_comps), (right, right_reps, right_comps) = sides
+        postings, place = _Postings(right), {r: i for i, r in enumerate(right_reps)}
+        sizes, comps = np.array([len(x) for x in right]), np.array(right_comps)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        found = []
+        for own, rep, comp in zip(left, left_reps, left_comps, strict=True):
+            at = postings.places(own)
+            shared = int((postings.count[at] > (rep in place)).sum())  # shingles that a member other than rep has
+            if 100 * shared < percent * len(own):
+                continue
+            both = postings.intersections(at)
+            for i in np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (comps != comp)).tolist():
+                a, b = root(comp), root(int(comps[i]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    found.append((rep, right_reps[i]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return linked
+
+
+def hidden_links(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) across components within the families of pairs (a, b = hub), as a written table."""
+    members = pairs.select("b", F.col("a").alias("rep")).union(pairs.select("b", F.col("b").alias("rep")).distinct()).withColumnRenamed("b", "hub")
+    sized = members.join(classes.select("rep", "n_shingles", "f1"), "rep").join(comps, F.col("rep") == F.col("node"), "left")
+    labelled = written(sized.select("hub", "rep", "f1", "n_shingles", F.coalesce("component", "rep").alias("comp")), "families")
+    shares = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    families = shares.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).filter("c > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    families = families.select("hub", F.col("top.comp").alias("main"), blocks.alias("blocks"))
+    open_rows = labelled.join(families, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    names = ["rep", "f1", "comp"]
+    left = open_rows.filter("comp <> main").select("hub", F.col("own").alias("i"), every, F.lit(0).alias("side"), *names).withColumnRenamed("other", "j")
+    right = open_rows.select("hub", F.col("own").alias("j"), every, F.lit(1).alias("side"), *names).withColumnRenamed("other", "i")
+    sides = left.unionByName(right)
+    texts = docs.join(sides, docs["doc_id"] == sides["rep"]).select("hub", "i", "j", "side", *names, "text")
+    return written(texts.groupBy("hub", "i", "j").applyInArrow(_block_pair(k, percent), "a long, b long"), "hidden")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,16 +279,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     rows = written(banded.join(shared, "key"), "buckets")
     ranked = rows.join(rows.groupBy("rep").agg(F.sum("n").alias("weight")), "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top")).select("key", (-F.col("top.r")).alias("hub"))
-    pairs = rows.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = written(rows.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimator(percent), "a long, b long"), "likely")
     links = confirm(likely, classes, slim, shingle, percent)
     comps = components(links)
-    crossing = _unresolved(rows, comps, classes, percent)
-    asked = likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    crossing = written(crossing.join(asked, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        comps = components(links.union(confirm(crossing, classes, slim, shingle, percent)))
+    hidden = hidden_links(pairs, comps, classes, slim, shingle, percent)
+    if not hidden.isEmpty():
+        comps = components(links.union(hidden))
     found = classes.join(comps, F.col("rep") == F.col("node"), "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     joined = sketches.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(found, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -6,10 +6,10 @@ smaller id; its words are removed.
 1. Anchors. Of the GRAM-word grams in a window the one with the smallest hash is its anchor, a function of the window's words
    alone: equal windows have equal anchors, and a fifth of a text's grams are anchors. Anchors are counted over all documents
    (partially aggregated); those of a single document are of no further interest.
-2. Segments. Of each distinct text (exact copies need no search: a copy's windows all occur in the first of its kind) the
-   runs of windows with a recurring anchor are cut out and dealt to shards by anchor, frequent anchors over several shards.
+2. Runs. Of each distinct text (exact copies need no search: a copy's windows all occur in the first of its kind) the runs
+   of windows with a recurring anchor are cut out and dealt to shards by anchor, frequent anchors over several shards.
 3. Automata. A shard confirms which whole windows recur and where first, and compiles them, a bounded number at a time, to
-   word-level Aho-Corasick automata, through which all its segments are streamed to locate every occurrence. For an anchor
+   word-level Aho-Corasick automata, through which all its runs are streamed to locate every occurrence. For an anchor
    dealt to several shards the windows are confirmed by an aggregation first and each shard gets those of its anchor.
 4. The located windows return to the documents as ranges of words, by one join on the document.
 """
@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, owners, picked, signed, steps, word_hashes, words_of, written
+from .shared import gram_hashes, longs, mixed, owners, picked, signed, steps, word_hashes, words_of, written
 
 WINDOW, GRAM = 13, 5
-#: Segments of one anchor that a shard takes, and recurring windows compiled to one automaton.
-SHARD_SEGMENTS, AUTOMATON_WINDOWS = 4096, 50_000
+#: Runs of one anchor that a shard takes, and words of whole shards that go to one automaton.
+SHARD_SEGMENTS, AUTOMATON_WORDS = 4096, 400_000
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,29 +51,34 @@ def _text_key(words: np.ndarray) -> tuple[int, int]:
     return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of words and 128 bits of the word sequence."""
-    for batch in steps(batches):
-        words, offsets = words_of(batch.column("text"))
-        hashes = word_hashes(words)
-        keys = [_text_key(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n_words", "k1", "k2"])
+KEYS = "doc_id long, n_words long, k1 long, k2 long, anchors array<long>"
 
 
-def _anchored(window: int, gram: int):
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, doc_id), once for each run of windows with the anchor."""
+def _keys(window: int, gram: int):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's number of words, 128 bits of its word sequence, and the anchors of its runs of windows."""
         for batch in steps(batches):
             words, offsets = words_of(batch.column("text"))
-            _, anchor, owner = anchors(word_hashes(words), offsets, window, gram)
-            if len(anchor):
-                new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), batch.column("doc_id").take(pa.array(owner[new]))], ["anchor", "doc_id"])
+            hashes = word_hashes(words)
+            keys = [_text_key(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            _, anchor, owner = anchors(hashes, offsets, window, gram)
+            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])))[: len(anchor)]
+            runs = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(batch))))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(runs), pa.array(signed(anchor[new])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "n_words", "k1", "k2", "anchors"])
 
-    return anchored
+    return keyed
 
 
-SEGMENT = "anchor long, shards long, doc_id long, start long, words string"
+#: words: the 64-bit hashes of a run's words, 8 bytes each. A window is told by 13 of them.
+SEGMENT = "anchor long, shards long, doc_id long, start long, words binary"
+
+
+def _binary(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each (begin, size) the bytes of that slice of the 64-bit values."""
+    ends = np.cumsum(sizes)
+    flat = values[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], ends * 8)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def _segments(window: int, gram: int):
@@ -81,123 +86,137 @@ def _segments(window: int, gram: int):
         """The runs of windows whose anchor recurs; recurring holds the document's anchors with their numbers of shards."""
         for batch in steps(batches):
             words, offsets = words_of(batch.column("text"))
-            starts, anchor, owner = anchors(word_hashes(words), offsets, window, gram)
+            hashes = word_hashes(words)
+            starts, anchor, owner = anchors(hashes, offsets, window, gram)
+            if not len(starts):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
+            last = np.concatenate((first[1:], [len(anchor)])) - 1
             lists = batch.column("recurring")
-            firsts = np.searchsorted(owner, np.arange(len(batch) + 1))
-            texts, rows = words.to_pylist(), []
-            for d, doc in enumerate(batch.column("doc_id").to_pylist()):
-                recurring = {x["anchor"]: x["shards"] for x in lists[d].as_py()}
-                at = slice(firsts[d], firsts[d + 1])
-                own, where = signed(anchor[at].copy()), starts[at]
-                breaks = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(0, int)
-                for a, b in zip(breaks[:-1].tolist(), breaks[1:].tolist(), strict=True):
-                    shards = recurring.get(int(own[a]))
-                    if shards is not None:
-                        begin = int(where[a])
-                        rows.append((int(own[a]), shards, doc, begin - int(offsets[d]), " ".join(texts[begin : int(where[b - 1]) + window])))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "shards", "doc_id", "start", "words"])
+            of = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            given = lists.flatten()
+            salted = lambda a, d: mixed(a ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            known = salted(given.field("anchor").to_numpy().view(np.uint64), of)
+            order = np.argsort(known)
+            known, shards = known[order], given.field("shards").to_numpy()[order]
+            mine = salted(anchor[first], owner[first])
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            hit = known[at] == mine
+            first, last, shards = first[hit], last[hit], shards[at[hit]]
+            begin = starts[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(anchor[first])), pa.array(shards), batch.column("doc_id").take(pa.array(owner[first])), pa.array(begin - offsets[owner[first]]), _binary(hashes, begin, starts[last] - begin + window)],
+                ["anchor", "shards", "doc_id", "start", "words"],
+            )
 
     return cut
 
 
-def _windows(words: list[str], window: int) -> Iterator[tuple[int, str]]:
-    for i in range(len(words) - window + 1):
-        yield i, " ".join(words[i : i + window])
+class _Rows:
+    """The word hashes of a column of runs, laid end to end, and all their windows."""
+
+    def __init__(self, column: pa.Array, window: int):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
+        self.offsets = (ends - ends[0]) // 8
+        row = owners(self.offsets)
+        places = np.arange(max(0, len(self.flat) - window + 1))
+        inside = row[: len(places)] == row[window - 1 :]
+        self.places, self.row = places[inside], row[: len(places)][inside]
+        self.hashes = gram_hashes(self.flat, window)[inside]
+
+
+def _recurring(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window that two documents or more hold: where it first stands, its first and its last document."""
+    order = np.lexsort((docs, hashes))
+    heads = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else order
+    tails = np.concatenate((heads[1:], [len(order)]))[: len(heads)] - 1
+    return order[heads], docs[order[heads]], docs[order[tails]]
 
 
 def _first_windows(window: int):
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, shards, window, doc_id), a window once for each batch and document that holds it."""
+        """(anchor, shards, window, first and last document), a window once for each batch."""
         for batch in batches:
-            seen = {}
-            for anchor, shards, doc, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "shards", "doc_id", "words")), strict=True):
-                for _, w in _windows(text.split(" "), window):
-                    old = seen.get((anchor, w))
-                    seen[anchor, w] = (shards, doc, doc) if old is None else (shards, min(old[1], doc), max(old[2], doc))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([k[1] for k in seen], pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2] for v in seen.values()], pa.int64())],
-                ["anchor", "shards", "words", "first", "last"],
-            )
+            if batch.num_rows:
+                rows = _Rows(batch.column("words"), window)
+                at, first, last = _recurring(rows.hashes, longs(batch.column("doc_id"))[rows.row])
+                own = pa.array(rows.row[at])
+                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(own), batch.column("shards").take(own), _binary(rows.flat, rows.places[at], np.full(len(at), window)), pa.array(first), pa.array(last)], ["anchor", "shards", "words", "first", "last"])
 
     return firsts
 
 
-class _Automaton:
-    """Recurring windows, compiled over word numbers; a match gives the first document that holds the window."""
-
-    def __init__(self, window: int):
-        self.window, self.numbers, self.trie, self.size = window, {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
-
-    def add(self, text: str, first: int) -> None:
-        numbers = self.numbers
-        self.trie.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in text.split(" ")), first)
-        self.size += 1
-
-    def locate(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(start, first document) of every occurrence."""
-        if self.size:
-            if self.trie.kind != ahocorasick.AHOCORASICK:
-                self.trie.make_automaton()
-            for end, first in self.trie.iter(tuple(self.numbers.get(w, 0) for w in words)):
-                yield end - self.window + 1, first
+RANGES = "doc_id long, begin long, end long"
 
 
-RANGES = "doc_id long, begin long, end long"
+def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Compiles the recurring windows of whole shards to an automaton over word numbers and streams the shards' runs through it."""
+    rows = _Rows(table.column("words"), window)
+    docs, start, shards = (longs(table.column(c)) for c in ("doc_id", "start", "shards"))
+    given = table.column("start").is_null().to_numpy()
+    alone = ~given[rows.row] & (shards[rows.row] == 1)  # windows of shards that are confirmed here
+    at, first, last = _recurring(rows.hashes[alone], docs[rows.row[alone]])
+    places, payload = rows.places[alone][at][first != last], first[first != last]
+    confirmed = np.flatnonzero(given)
+    places, payload = np.concatenate((places, rows.offsets[confirmed])), np.concatenate((payload, docs[confirmed]))
+    found = np.zeros((0, 2), dtype=np.int64)
+    numbers = np.unique(rows.flat, return_inverse=True)[1] + 1
+    if len(places):
+        trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        words = numbers.tolist()
+        for place, doc in zip(places.tolist(), payload.tolist(), strict=True):
+            trie.add_word(tuple(words[place : place + window]), doc)
+        trie.make_automaton()
+        row = owners(rows.offsets)
+        streamed = ~given[row]
+        spaced = np.flatnonzero(streamed) + row[streamed]  # a 0, which is in no window, parts the runs
+        text = np.zeros(len(rows.flat) + table.num_rows + 1, dtype=np.int64)
+        text[spaced] = numbers[streamed]
+        found = np.array(list(trie.iter(tuple(text.tolist()))), dtype=np.int64).reshape(-1, 2)
+        back = np.zeros(len(text), dtype=np.int64)
+        back[spaced] = np.flatnonzero(streamed)
+    if len(found):
+        head, seen = back[found[:, 0]] - window + 1, found[:, 1]
+        where = row[head]
+        gone = seen < docs[where]
+        head, where = head[gone], where[gone]
+        inside = head - rows.offsets[where]
+        new = np.concatenate(([True], (where[1:] != where[:-1]) | (inside[1:] - inside[:-1] > window)))[: len(where)]
+        begins = np.flatnonzero(new)
+        ends = np.concatenate((begins[1:], [len(where)]))[: len(begins)] - 1
+        base = start[where[begins]].astype(np.int64)
+        columns = docs[where[begins]], base + inside[begins], base + inside[ends] + window
+    else:
+        columns = (np.zeros(0, np.int64),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end"])
 
 
 def _located(window: int, bound: int):
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranges of words to remove. Rows come by shard (anchor, part), a shard's confirmed windows (start null) before its segments.
-
-        Whole shards are gathered until their windows fill an automaton; then their segments stream through it.
-        """
-
-        def flush(segments: list, confirmed: dict) -> pa.RecordBatch:
-            firsts: dict[str, int] = {}
-            recurring = dict(confirmed)
-            for doc, _, words, given in segments:
-                if not given:
-                    for _, w in _windows(words, window):
-                        first = firsts.setdefault(w, doc)
-                        if first != doc:
-                            recurring[w] = min(first, doc, recurring.get(w, first))
-                            firsts[w] = min(first, doc)
-            automaton = _Automaton(window)
-            for w, first in recurring.items():
-                automaton.add(w, first)
-            found = []
-            for doc, start, words, _ in segments:
-                begin = end = -1
-                for at, first in automaton.locate(words):
-                    if first < doc:
-                        if at > end:
-                            if begin >= 0:
-                                found.append((doc, start + begin, start + end))
-                            begin = at
-                        end = at + window
-                if begin >= 0:
-                    found.append((doc, start + begin, start + end))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["doc_id", "begin", "end"])
-
-        segments, confirmed, shard, size = [], {}, None, 0
+        """Ranges of words to remove. Rows come by shard (anchor, part); whole shards are gathered until their words fill an automaton."""
+        held, size = [], 0
         for batch in batches:
-            names = ("anchor", "part", "shards", "doc_id", "start", "words")
-            for anchor, part, shards, doc, start, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (anchor, part) != shard:
-                    shard = (anchor, part)
-                    if size >= bound:
-                        yield flush(segments, confirmed)
-                        segments, confirmed, size = [], {}, 0
-                if start is None:
-                    confirmed[text] = doc
-                    size += 1
-                else:
-                    words = text.split(" ")
-                    segments.append((doc, start, words, shards > 1))
-                    size += (len(words) - window + 1) if shards == 1 else 1
-        yield flush(segments, confirmed)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("words").nbytes // 8
+            if size >= bound:
+                table = pa.Table.from_batches(held)
+                anchor, part = longs(table.column("anchor")), longs(table.column("part"))
+                changes = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+                at = 0
+                while len(changes) and at < changes[-1]:  # so many whole shards at a time, the last one stays
+                    lengths = pc.binary_length(table.column("words")).to_numpy()
+                    full = np.searchsorted(np.cumsum(lengths[at:]) // 8, bound) + at
+                    to = changes[min(np.searchsorted(changes, full), len(changes) - 1)]
+                    yield _locate(table.slice(at, to - at), window)
+                    at = to
+                held = table.slice(at).combine_chunks().to_batches()
+                size = sum(b.column("words").nbytes // 8 for b in held)
+        if held:
+            yield _locate(pa.Table.from_batches(held), window)
 
     return located
 
@@ -211,14 +230,14 @@ def _cut_out(window: int):
             words, offsets = words_of(batch.column("text"))
             n = np.diff(offsets)
             gone = np.zeros(len(words) + 1, dtype=np.int64)
-            for d, (ranges, copy) in enumerate(zip(batch.column("ranges"), batch.column("is_copy").to_pylist(), strict=True)):
-                if copy and n[d] >= window:
-                    gone[offsets[d]] += 1
-                    gone[offsets[d + 1]] -= 1
-                elif not copy and ranges.is_valid:
-                    for r in ranges.as_py():
-                        gone[offsets[d] + r["begin"]] += 1
-                        gone[offsets[d] + r["end"]] -= 1
+            copy = batch.column("is_copy").to_numpy(zero_copy_only=False) & (n >= window)
+            np.add.at(gone, offsets[:-1][copy], 1)
+            np.add.at(gone, offsets[1:][copy], -1)
+            lists = batch.column("ranges")
+            of = np.repeat(offsets[:-1], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            ranges = lists.flatten()
+            np.add.at(gone, of + longs(ranges.field("begin")), 1)
+            np.add.at(gone, of + longs(ranges.field("end")), -1)
             kept = np.cumsum(gone)[:-1] == 0
             left = np.concatenate(([0], np.cumsum(kept)))[offsets]
             flat = words.filter(pa.array(kept)) if not kept.all() else words
@@ -229,20 +248,22 @@ def _cut_out(window: int):
     return removed
 
 
-def repeated_ranges(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, end): word ranges of the documents in firsts (doc_id; one per distinct text) to remove."""
-    raw = docs.mapInArrow(_anchored(window, gram), "anchor long, doc_id long")
-    counted = raw.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y")
+    runs = keys.select("doc_id", "k1", F.explode("anchors").alias("anchor"))
+    counted = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y")
     counted = counted.select("anchor", F.ceil(F.col("n") / SHARD_SEGMENTS).alias("shards"))
-    hits = raw.join(counted, "anchor").join(firsts, "doc_id", "left_semi").distinct()
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
-    segments = written(docs.join(wanted, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT), "segments")
-    dealt = segments.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
-    frequent = segments.filter("shards > 1").mapInArrow(_first_windows(window), "anchor long, shards long, words string, first long, last long")
+    hits = runs.select("doc_id", "anchor").join(counted, "anchor").join(firsts, "doc_id", "left_semi")
+    wanted = hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
+    frequent_only = wanted.select("doc_id", F.filter("recurring", lambda x: x["shards"] > 1).alias("recurring")).filter(F.size("recurring") > 0)
+    # the shuffled documents serve all three joins with them in one plan
+    cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT)
+    dealt = cut(wanted).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
+    frequent = cut(frequent_only).mapInArrow(_first_windows(window), "anchor long, shards long, words binary, first long, last long")
     confirmed = frequent.groupBy("anchor", "shards", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z")).filter("doc_id <> z")
     given = confirmed.select("anchor", "shards", "doc_id", F.lit(None).cast("long").alias("start"), "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part"))
-    rows = dealt.unionByName(given).repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.asc_nulls_first("start"), "doc_id")
-    return rows.select("anchor", "part", "shards", "doc_id", "start", "words").mapInArrow(_located(window, AUTOMATON_WINDOWS), RANGES)
+    rows = dealt.unionByName(given).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return rows.select("anchor", "part", "shards", "doc_id", "start", "words").mapInArrow(_located(window, AUTOMATON_WORDS), RANGES)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -253,13 +274,15 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """
     slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = slim.filter(F.col("doc_id").isNotNull())
-    keys = written(known.mapInArrow(_keys, "doc_id long, n_words long, k1 long, k2 long"), "keys")
-    classes = keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first"))
+    keys = written(known.mapInArrow(_keys(window, GRAM), KEYS), "keys")
+    classes = written(keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first")), "texts")
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
-    ranges = repeated_ranges(known, firsts, window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    copies = keys.join(classes, ["n_words", "k1", "k2"]).filter("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct()
-    found = known.join(ranges.join(copies, "doc_id", "full"), "doc_id", "left").union(slim.filter(F.col("doc_id").isNull()).withColumns({"ranges": F.lit(None).cast("array<struct<begin:bigint,end:bigint>>"), "copy": F.lit(None).cast("boolean")}))
-    return found.select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("is_copy")).mapInArrow(_cut_out(window), RESULT)
+    ranges = repeated_ranges(known, keys, firsts, window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    copies = keys.select("doc_id", "n_words", "k1", "k2").join(classes, ["n_words", "k1", "k2"]).filter("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct()
+    found = known.join(ranges.join(copies, "doc_id", "full"), "doc_id", "left")
+    nameless = slim.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"), F.lit(False).alias("is_copy"))
+    every = found.select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("is_copy")).union(nameless)
+    return every.mapInArrow(_cut_out(window), RESULT)
 
 
 def op1_repeated_phrases(spark, sf_dir: str) -> DataFrame:

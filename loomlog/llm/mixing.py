@@ -25,7 +25,7 @@ RESOLUTION = 8192
 MOST_SOURCES = 100_000
 BLOCK_BYTES = 65_536
 #: Documents of a chunk: offsets are summed within a chunk, and chunks' totals within a source.
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 4_000
 
 
 def quotas(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:

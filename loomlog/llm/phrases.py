@@ -210,7 +210,7 @@ def _located(window: int, bound: int):
                 while len(changes) and at < changes[-1]:  # so many whole shards at a time, the last one stays
                     lengths = pc.binary_length(table.column("words")).to_numpy()
                     full = np.searchsorted(np.cumsum(lengths[at:]) // 8, bound) + at
-                    to = changes[min(np.searchsorted(changes, full), len(changes) - 1)]
+                    to = changes[min(np.searchsorted(changes, max(full, at + 1)), len(changes) - 1)]
                     yield _locate(table.slice(at, to - at), window)
                     at = to
                 held = table.slice(at).combine_chunks().to_batches()

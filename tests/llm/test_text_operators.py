@@ -1,0 +1,377 @@
+"""The operators on texts against plain versions, on awkward rows."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from loomlog.llm import hostrules, mixing, neardup, packing, phrases, pii, quality, revisits, wordpieces
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "extra string, doc_id long, text string, source string, n_chars long, TEXT string"
+
+
+def awkward(seed=0, n=60):
+    """Nulls in every column, empty and blank texts, repeated rows, copies, near copies, shared passages and long texts."""
+    r = random.Random(seed)
+    words = lambda k: [r.choice("alpha beta gamma delta eps zeta eta theta".split()) + str(r.randrange(60)) for _ in range(k)]
+    passage, rows = words(30), []
+    base = words(80)
+    for i in range(n):
+        kind = i % 10
+        if kind == 0:
+            t = " ".join(base)
+        elif kind == 1:
+            own = list(base)
+            for _ in range(r.randrange(1, 6)):
+                own[r.randrange(80)] = "new" + str(r.randrange(999))
+            t = "\t".join(own)
+        elif kind == 2:
+            own = words(20)
+            t = " ".join(own[:9] + passage + own[9:])
+        elif kind == 3:
+            t = r.choice([None, "", " \n\t ", "one", "two words", "É #x +1 (168) 555-5254 \U0001f600"])
+        elif kind == 4:
+            t = "\n".join([" ".join(passage[:15])] * 4)
+        else:
+            t = " ".join(words(r.choice([3, 12, 13, 40, 400])))
+        rows.append((None, i, t, None if i % 7 == 0 else f"s{i % 3}", None if t is None else len(t), "x"))
+    rows += [rows[5], rows[5], (None, None, "lost id " * 9, "s1", None, None), (None, None, None, None, None, None), ("e", 70, " ".join(words(20_000)), "s0", 1, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).toDF("extra", "doc_id", "text", "source", "n_chars", "TEXT")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(t):
+    return WORD.findall(t or "")
+
+
+def test_phrases(docs, monkeypatch):
+    rows = [(r[1], r[2]) for r in awkward()]
+    first = {}
+    for i, t in rows:
+        w = words_of(t)
+        for k in range(len(w) - 12):
+            if i is not None:
+                g = tuple(w[k : k + 13])
+                first[g] = min(first.get(g, i), i)
+    want = []
+    for i, t in rows:
+        w = words_of(t)
+        gone = {p for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    for shards, words in ((4096, 400_000), (1, 50), (3, 1)):  # frequent anchors over many shards, tiny automata
+        monkeypatch.setattr(phrases, "SHARD_SEGMENTS", shards)
+        monkeypatch.setattr(phrases, "AUTOMATON_WORDS", words)
+        got = [tuple(r) for r in phrases.without_repeats(docs).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[2] for x in want) > 500
+
+
+def components(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words_of(t)]
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    best = [i for i, _ in rows]
+    while True:
+        again = list(best)
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if a != b and sets[a] and rows[a][0] is not None and rows[b][0] is not None and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    again[a] = min(again[a], again[b])
+        if again == best:
+            return [(i, len(s), c, c == i or i is None) for (i, _), s, c in zip(rows, sets, best, strict=True)]
+        best = again
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_duplicates(docs, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    rows = [(r[1], r[2]) for r in awkward()]
+    got = [tuple(r) for r in neardup.near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got, key=str) == sorted(components(rows, 4, 80), key=str)
+    kept = neardup.without_near_duplicates(docs, 4)
+    assert kept.columns == docs.columns
+    want = {i for i, _, _, ok in components(rows, 4, 80) if ok and i is not None}
+    ids = [r[1] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+
+
+def test_links_that_no_hub_has(spark):
+    """A chain in which each text is close to the next only: hubs can't see it, the families' blocks must."""
+    r = random.Random(3)
+    w = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(24):
+        rows.append((i, " ".join(w)))
+        for _ in range(2):
+            w[r.randrange(100)] = f"w{r.randrange(10**6)}"
+    got = [tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(components(rows, 4, 80))
+
+
+def test_estimate_and_merge():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
+    sets = [np.concatenate((common, a)), np.concatenate((common, b)), np.concatenate((common, a, b))]
+    regs = neardup.registers(np.concatenate(sets), np.array([0, 900, 1800, 2800]))
+    assert (np.maximum(regs[0], regs[1]) == regs[2]).all()
+    below, equal = (regs[0] < regs[1]).sum(), (regs[0] == regs[1]).sum()
+    j = neardup.joint_estimate(np.array([below]), np.array([equal]), np.array([neardup.M - below - equal]), np.array([900.0]), np.array([900.0]))[0]
+    assert abs(j - 0.8) < 0.15
+
+
+def test_packing(docs):
+    got = packing.pack(docs, group_pieces=20).collect()
+    slow, _ = packing._encoders(packing.vocabulary_path())
+    import struct
+    import zlib
+
+    want = []
+    for r in awkward():
+        ids = [*slow.encode(r[2] or "", add_special_tokens=False).ids, 2]
+        head = len(ids) % 1024 or 1024
+        cuts = [0] if len(ids) <= 1024 else [0, *range(head, len(ids), 1024)]
+        for k, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True)):
+            want.append((r[1], k, s, e - s, zlib.crc32(struct.pack(f"<{e - s}I", *ids[s:e]))))
+    assert sorted([(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got], key=str) == sorted(want, key=str)
+    bins = {}
+    for x in got:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for pieces in bins.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 1024
+
+
+def test_fast_tokens_equal_slow_ones():
+    slow, _ = packing._encoders(packing.vocabulary_path())
+    r = random.Random(5)
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(161, 592), *range(0x2010, 0x2028)]] + [" "] * 200 + ["'ll", "\n\n", "   ", "É", "<|endoftext|>", "0", "ing"] * 5
+    for _ in range(400):
+        t = "".join(r.choice(letters) for _ in range(r.randrange(80)))
+        assert packing.token_ids(t, packing.vocabulary_path()).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_place_is_near_the_least():
+    import numpy as np
+
+    sizes = np.random.default_rng(2).integers(1, 1025, 5000)
+    bins, offsets, used = packing.place(sizes, 1024)
+    assert used <= 1.003 * np.ceil(sizes.sum() / 1024) and len(np.unique(bins)) == used
+    assert (np.bincount(bins, weights=sizes) <= 1024).all()
+
+
+def test_rules(docs):
+    def judge(t):
+        w, lines = words_of(t), [x for x in (t or "").split("\n") if WORD.search(x)]
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        twice = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 5)} if len(w) < 2000 else set()
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(twice)
+
+    got = hostrules.rule_table(docs).collect()
+    want = [(r[1], *judge(r[2])) for r in awkward()]
+    assert sorted([(x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in got if x.n_words < 2000], key=str) == sorted([x for x in want if x[1] < 2000], key=str)
+    assert all(x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words) for x in got)
+    kept = hostrules.without_rejected(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(x.kept for x in got)
+
+
+def test_bad_host(spark):
+    good = "these are ten plain words that make one clean text"
+    rows = [(i, f"{good} {i}", f"h{i % 5}") for i in range(100)] + [(100 + i, "#$% " * 3 + good, "bad") for i in range(40)] + [(200, good, "bad"), (201, "## $$ %% " + good, "h1")]
+    found = {r.doc_id: r for r in hostrules.rule_table(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found[110].host_bad and not found[110].kept and not found[110].base_failed
+    assert found[200].kept and found[201].kept and not found[201].host_bad and found[201].n_soft == 1
+
+
+def test_prior():
+    assert hostrules.prior(None, 0, 0, 0.0, 0.0) == (0.0, None)
+    m, s = hostrules.prior(200, 100, 2, 100 * 100 / 100, 2 * 100.0**2)  # one host fails always, one never
+    assert m == 0.5 and s is not None and s < 0.1
+    assert hostrules.prior(200, 100, 2, 2 * 50 * 50 / 100, 2 * 100.0**2)[1] is None
+
+
+PII = [
+    ("a@b.com_x@y.zz.q", [("email", 0, 7), ("email", 7, 16)]),
+    ("@x.y a@@b.c a@b c.d@e-f.g.", [("email", 16, 25)]),
+    ("1.2.3.4.5 256.1.1.1 010.1.1.255 1.2.3", [("ip", 0, 7), ("ip", 20, 31)]),
+    ("4111 1111-1111 1111 and 4111111111111112", [("card", 0, 19)]),
+    ("+1 (168) 555-5254. +12345678 +1234567890123456", [("phone", 0, 17)]),
+    ("IBAN DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01", []),
+    ("é\U0001f600 x@y.z", [("email", 3, 8)]),
+]
+
+
+@pytest.mark.parametrize("text,spans", PII)
+def test_base_spans(text, spans):
+    assert pii.base_spans(text) == spans
+
+
+def test_base_spans_are_the_plain_patterns():
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub(r"\D", "", s)) <= 15),
+    }
+    r = random.Random(1)
+    for n in range(3000):
+        t = "".join(r.choice("01234567890123 -.@+()ab._%x") for _ in range(r.randrange(60)))
+        if n % 3 == 0:
+            t = t.replace(r.choice("01"), "4111111111111111", 1)
+        want = [(k, *m.span()) for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m[0])]
+        assert pii.base_spans(t) == want, t
+
+
+def test_more_spans_and_redaction(docs):
+    t = "pay to DE89 3704 0044 0532 0130 00, token = \"dfd1944d2e84f15e89902e34\", my ssn 123-45-6789, part 123-45-6789"
+    assert [t[a:b] for _, a, b in pii.more_spans(t)] == ["DE89 3704 0044 0532 0130 00", "123-45-6789", "dfd1944d2e84f15e89902e34"]
+    assert pii.redact("write a@b.com now") == "write <email> now"
+    for hard in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "a@" * 100_000):
+        pii.find(hard)
+    found = {r.doc_id: r for r in pii.pii_spans(docs).collect()}
+    assert len(found) == 62 and found[70].spans == ""
+    new = pii.redacted(docs)
+    assert new.columns == docs.columns and new.count() == docs.count()
+
+
+def test_pieces():
+    vocabulary = ["▁a", "▁ab", "b", "c", "bc", "▁", "abcd", "cd", "d", "▁abcde"]
+    machine = wordpieces.LongestMatch(vocabulary)
+
+    def greedy(w):
+        n = 0
+        while w:
+            k = next((k for k in range(len(w), 0, -1) if w[:k] in vocabulary), None)
+            if k is None:
+                return -1
+            w, n = w[k:], n + 1
+        return n
+
+    r = random.Random(2)
+    texts = ["▁" + "".join(r.choice("abcde") for _ in range(r.randrange(1, 90))) for _ in range(300)] + ["▁" + "x" * 3, "▁é"]
+    assert [machine.count(t) for t in texts] == machine.counts(texts).tolist() == [greedy(t) for t in texts]
+
+
+def test_piece_counts(docs):
+    pieces = set(wordpieces.pieces_of(wordpieces.vocabulary_path()))
+    longest = max(map(len, pieces))
+
+    def count(word):
+        w, n = "▁" + word, 0
+        while w:
+            k = next((k for k in range(min(longest, len(w)), 0, -1) if w[:k] in pieces), None)
+            if k is None:
+                return 1, 1
+            w, n = w[k:], n + 1
+        return n, 0
+
+    want = []
+    for r in awkward():
+        found = [count(w) for w in words_of(r[2])]
+        want.append((r[1], len(found), sum(x[0] for x in found), sum(x[1] for x in found)))
+    assert sorted([tuple(r) for r in wordpieces.token_counts(docs).collect()], key=str) == sorted(want, key=str)
+
+
+def test_mixing(docs):
+    slots = mixing.quotas({"a": 5, "b": 3, "c": 0.001}, 64)
+    assert sum(slots.values()) == 64 and min(slots.values()) >= 1
+    served = dict.fromkeys(slots, 0)
+    for t, (s, i) in enumerate(mixing.cycle(slots)):
+        assert i * 64 // slots[s] <= t < -(-(i + 1) * 64 // slots[s]) and i == served[s]
+        served[s] += 1
+        assert all(abs(served[x] - slots[x] * (t + 1) / 64) < 1 for x in slots)
+    rows = mixing.mixed_blocks(docs, block_bytes=500, resolution=64).collect()
+    assert len(rows) == len(awkward())
+    cycle = {}
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r._source, r._start, r._bytes > 0)):
+        assert r._block == r._start // 500 and r._release <= r._slot < r._deadline
+        assert r._start == ends.get(r._source, 0)
+        ends[r._source] = r._start + r._bytes
+        assert cycle.setdefault((r._source, r._block), r._slot) == r._slot
+    assert len(set(cycle.values())) == len(cycle)
+    ordered = mixing.mixed_order(docs)
+    assert ordered.columns == docs.columns and ordered.count() == len(awkward())
+
+
+def test_mixing_ties_are_stable(docs):
+    a, b = (sorted(map(str, mixing.mixed_blocks(docs, block_bytes=500, weights={"s0": 2.0, "s1": 1.0}).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_quality(spark, docs):
+    import numpy as np
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = {r.doc_id: r for r in quality.quality_scores(table, labels).collect()}
+    held = [(found[r.doc_id], r.quality) for r in labels.collect() if found[r.doc_id].held_out]
+    assert np.mean([f.predicted == q for f, q in held]) > 0.97
+    odd = quality.quality_scores(docs, labels).collect()
+    assert len(odd) == len(awkward()) and all(0 <= r.score <= 1 for r in odd)
+    none = quality.quality_scores(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+
+
+def test_revisits(spark, monkeypatch):
+    r = random.Random(4)
+    urls = ["HTTP://Ex.com:80/a/?b=1&a=2#x", "https://ex.com/a?a=2&b=1&utm_source=q", "https://ex.com/b", "no scheme", None]
+    rows = []
+    for i in range(300):
+        kind = r.choice(["response", "revisit", "revisit"])
+        headers = {"ETag": r.choice(['"1"', 'W/"1"', '"2"']), "Date": str(i), "Content-Length": str(i)} if r.random() < 0.7 else ({"Last-Modified": r.choice("mn")} if r.random() < 0.7 else None)
+        rows.append((i, r.choice(urls) if i % 5 else urls[0], r.choice([None, *range(0, 100, 3)]), kind, headers, "clash"))
+    rows.append(rows[3])
+    records = spark.createDataFrame(rows, "record_id long, url string, captured long, kind string, headers map<string,string>, status string")
+
+    def key(u):
+        return None if u is None else {"HTTP": "https://ex.com/a?a=2&b=1", "https://ex.com/a": "https://ex.com/a?a=2&b=1"}.get(u[:4] if u[:4] == "HTTP" else u[:16], u)
+
+    low = [(i, key(u), t, k, {a.lower(): b for a, b in (h or {}).items()}) for i, u, t, k, h, _ in rows]
+    want = []
+    for i, u, t, k, h in low:
+        past = [x for x in low if u is not None and t is not None and x[1] == u and x[2] is not None and x[3] == "response" and (x[2], x[0]) < (t, i)]
+        s = max(past, key=lambda x: (x[2], x[0])) if past else None
+        strip = lambda e: None if e is None else e.removeprefix("W/")
+        if k == "response":
+            want.append((i, "full", i, h))
+        elif s is None:
+            want.append((i, "orphan", None, h))
+        elif "etag" in h or "last-modified" in h:
+            ok = strip(h["etag"]) == strip(s[4].get("etag")) if "etag" in h else h["last-modified"] == s[4].get("last-modified")
+            merged = s[4] | {a: b for a, b in h.items() if a in revisits.PERMITTED}
+            want.append((i, "resolved", s[0], merged) if ok else (i, "mismatch", None, h))
+        else:
+            want.append((i, "no_validator", None, h))
+    for block in (20_000, 7):
+        got = [(x.record_id, x.status, x.source_id, x.headers) for x in revisits.resolve_revisits(records, block).collect()]
+        order = lambda x: (x[0], x[1], str(x[2]))
+        assert sorted(got, key=order) == sorted(want, key=order)
+    assert {x[1] for x in want} == {"full", "orphan", "resolved", "mismatch", "no_validator"}
+
+
+def test_empty_tables(spark, empty):
+    e = empty.toDF("extra", "doc_id", "text", "source", "n_chars", "TEXT")
+    assert phrases.without_repeats(e).count() == neardup.near_duplicates(e).count() == packing.pack(e).count() == 0
+    assert neardup.without_near_duplicates(e).count() == hostrules.without_rejected(e).count() == mixing.mixed_order(e).count() == 0
+    assert pii.pii_spans(e).count() == pii.redacted(e).count() == wordpieces.token_counts(e).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(e, labels).count() == 0
+    assert revisits.resolve_revisits(revisits.crawl_of(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0

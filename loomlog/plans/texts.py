@@ -88,12 +88,12 @@ def exec_classifier(t):
 @query(
     "task_mentions",
     r"""SELECT key, count(*) AS docs FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(upper(left(text, 12)) || '-' || (doc_id % 40), '(?:^|[^\p{L}\p{N}_])([A-Z][A-Z]+-[0-9]+)', 1),
-    lambda k: string_split(k, '-')[1] || '-' || lpad(string_split(k, '-')[2], greatest(length(string_split(k, '-')[2]), 4)::INTEGER, '0')))) AS key FROM documents) GROUP BY 1""",
+    lambda k: string_split(k, '-')[1] || '-' || lpad(string_split(k, '-')[2], greatest(length(string_split(k, '-')[2]), 4)::INTEGER, '0')))) AS key FROM documents WHERE lang = 'en') GROUP BY 1""",
 )
 def task_mentions(t):
     """Task keys found in texts, normalised, with the number of documents each."""
     made = F.concat(F.upper(F.left("text", F.lit(12))), F.lit("-"), (F.col("doc_id") % 40).cast("string"))
-    return t("documents").select("doc_id", F.explode(names.task_mentions(made, 4)).alias("key")).groupBy("key").agg(F.count("*").alias("docs"))
+    return t("documents").filter("lang = 'en'").select("doc_id", F.explode(names.task_mentions(made, 4)).alias("key")).groupBy("key").agg(F.count("*").alias("docs"))
 
 
 @query(

@@ -25,7 +25,7 @@ class MergeSpec:
     default: str = "UPDATE"
 
     def aggregate(self, name: str) -> Column:
-        policy, value, at = self.policies.get(name, self.default), F.col(name), F.col(self.order)
+        policy, value, at = self.policies.get(name, self.default), F.col(name), F.struct("_incoming", F.col(self.order))
         known = F.when(value.isNotNull(), at)
         if policy == "KEEP":
             return F.min_by(value, known).alias(name)
@@ -48,9 +48,9 @@ class MergeSpec:
         raise ValueError(f"unknown policy {policy}")
 
     def merge(self, old: DataFrame, new: DataFrame) -> DataFrame:
-        """One row per key from both tables. The key is hashed once; every policy but MERGE is combined before the shuffle."""
-        both = old.unionByName(new, allowMissingColumns=True)
-        values = [c for c in both.columns if c not in (*self.key, self.order)]
+        """One row per key from both tables; what is stored came before what comes in, so merging again changes nothing. The key is hashed once; every policy but MERGE is combined before the shuffle."""
+        both = old.withColumn("_incoming", F.lit(0)).unionByName(new.withColumn("_incoming", F.lit(1)), allowMissingColumns=True)
+        values = [c for c in both.columns if c not in (*self.key, self.order, "_incoming")]
         return both.groupBy(*self.key).agg(*[self.aggregate(c) for c in values], F.max(self.order).alias(self.order))
 
 

@@ -17,6 +17,7 @@ smaller id; its words are removed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +33,8 @@ from .shared import gram_hashes, longs, mixed, owners, picked, signed, steps, wo
 WINDOW, GRAM = 13, 5
 #: Runs of one anchor that a shard takes, and words of whole shards that go to one automaton.
 SHARD_SEGMENTS, AUTOMATON_WORDS = 4096, 400_000
+#: Bytes of hash by which the automata tell a word, and entries of an anchor bucket.
+WIDTH, BUCKET_ENTRIES = 6, 1_000_000
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,34 +54,85 @@ def _text_key(words: np.ndarray) -> tuple[int, int]:
     return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
 
 
-KEYS = "doc_id long, n_words long, k1 long, k2 long, anchors array<long>"
+KEYS = "doc_id long, n_words long, k1 long, k2 long"
 
 
-def _keys(window: int, gram: int):
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's number of words, 128 bits of its word sequence, and the anchors of its runs of windows."""
-        for batch in steps(batches):
-            words, offsets = words_of(batch.column("text"))
-            hashes = word_hashes(words)
-            keys = [_text_key(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            _, anchor, owner = anchors(hashes, offsets, window, gram)
-            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])))[: len(anchor)]
-            runs = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(batch))))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(runs), pa.array(signed(anchor[new])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "n_words", "k1", "k2", "anchors"])
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's number of words and 128 bits of its word sequence."""
+    for batch in steps(batches):
+        words, offsets = words_of(batch.column("text"))
+        hashes = word_hashes(words)
+        keys = [_text_key(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n_words", "k1", "k2"])
+
 
-    return keyed
+#: Anchors of a bucket, with a document each and whether they are known to recur, as packed arrays.
+PACKED = "bucket long, anchors binary, docs binary, known binary"
 
 
-#: words: the 64-bit hashes of a run's words, 8 bytes each. A window is told by 13 of them.
+def _bucketed(window: int, gram: int, buckets: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors by bucket. An anchor of several documents of a step recurs: its documents are told at once, in buckets from
+        `buckets` on that only pass them on, and one of them alone goes to the anchor's bucket, so that a frequent anchor sends
+        one entry for each step."""
+        for batch in steps(batches):
+            words, offsets = words_of(batch.column("text"))
+            _, anchor, owner = anchors(word_hashes(words), offsets, window, gram)
+            if not len(anchor):
+                continue
+            docs = longs(batch.column("doc_id"))[owner]
+            order = np.lexsort((docs, anchor))
+            anchor, docs = anchor[order], docs[order]
+            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (docs[1:] != docs[:-1])))
+            anchor, docs = anchor[new], docs[new]
+            head = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            size = np.diff(np.concatenate((np.flatnonzero(head), [len(anchor)])))
+            several = np.repeat(size > 1, size)
+            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+            passed = buckets + int(docs[0]) % buckets
+            anchor, docs, known = np.concatenate((anchor[head], anchor[several])), np.concatenate((docs[head], docs[several])), np.concatenate((several[head], np.ones(int(several.sum()), bool)))
+            bucket = np.concatenate((bucket[head], np.full(int(several.sum()), passed)))
+            order = np.argsort(bucket, kind="stable")
+            bucket, anchor, docs, known = bucket[order], anchor[order], docs[order], known[order]
+            begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            ends = np.concatenate((begins[1:], [len(bucket)]))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), cut(anchor), cut(docs), cut(known)], ["bucket", "anchors", "docs", "known"])
+
+    return packed
+
+
+HITS = "anchor long, doc_id long"
+
+
+def _recurring_anchors(buckets: int):
+    def hits(table: pa.Table) -> pa.Table:
+        """(anchor, doc_id) of the anchors that several documents hold."""
+        bucket = table.column("bucket")[0].as_py()
+        anchor, docs, known = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("anchors", np.uint64), ("docs", np.int64), ("known", bool)))
+        if bucket < buckets:
+            order = np.lexsort((docs, anchor))
+            anchor, docs, known = anchor[order], docs[order], known[order]
+            begins = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            size = np.diff(np.concatenate((begins, [len(anchor)])))
+            recurs = (np.minimum.reduceat(docs, begins) != np.maximum.reduceat(docs, begins)) | np.logical_or.reduceat(known, begins)
+            keep = np.repeat(recurs, size) & ~known
+            anchor, docs = anchor[keep], docs[keep]
+        return pa.table({"anchor": pa.array(signed(np.ascontiguousarray(anchor))), "doc_id": pa.array(docs)})
+
+    return hits
+
+
+#: words: WIDTH bytes of hash for each of a run's words. A window is told by 13 of them.
 SEGMENT = "anchor long, shards long, doc_id long, start long, words binary"
 
 
 def _binary(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """For each (begin, size) the bytes of that slice of the 64-bit values."""
+    """For each (begin, size) WIDTH bytes of each value of that slice of the 64-bit values."""
     ends = np.cumsum(sizes)
     flat = values[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], ends * 8)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+    flat = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], ends * WIDTH)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def _segments(window: int, gram: int):
@@ -118,8 +172,10 @@ class _Rows:
     def __init__(self, column: pa.Array, window: int):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        self.flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
-        self.offsets = (ends - ends[0]) // 8
+        given = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, WIDTH)
+        self.flat = np.zeros(len(given), dtype=np.uint64)
+        self.flat.view(np.uint8).reshape(-1, 8)[:, :WIDTH] = given
+        self.offsets = (ends - ends[0]) // WIDTH
         row = owners(self.offsets)
         places = np.arange(max(0, len(self.flat) - window + 1))
         inside = row[: len(places)] == row[window - 1 :]
@@ -201,7 +257,7 @@ def _located(window: int, bound: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch.column("words").nbytes // 8
+            size += batch.column("words").nbytes // WIDTH
             if size >= bound:
                 table = pa.Table.from_batches(held)
                 anchor, part = longs(table.column("anchor")), longs(table.column("part"))
@@ -209,12 +265,12 @@ def _located(window: int, bound: int):
                 at = 0
                 while len(changes) and at < changes[-1]:  # so many whole shards at a time, the last one stays
                     lengths = pc.binary_length(table.column("words")).to_numpy()
-                    full = np.searchsorted(np.cumsum(lengths[at:]) // 8, bound) + at
+                    full = np.searchsorted(np.cumsum(lengths[at:]) // WIDTH, bound) + at
                     to = changes[min(np.searchsorted(changes, max(full, at + 1)), len(changes) - 1)]
                     yield _locate(table.slice(at, to - at), window)
                     at = to
                 held = table.slice(at).combine_chunks().to_batches()
-                size = sum(b.column("words").nbytes // 8 for b in held)
+                size = sum(b.column("words").nbytes // WIDTH for b in held)
         if held:
             yield _locate(pa.Table.from_batches(held), window)
 
@@ -250,11 +306,13 @@ def _cut_out(window: int):
 
 def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, end): word ranges of the documents in firsts (doc_id; one per distinct text) to remove."""
-    runs = keys.select("doc_id", "k1", F.explode("anchors").alias("anchor"))
-    counted = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y")
-    counted = counted.select("anchor", F.ceil(F.col("n") / SHARD_SEGMENTS).alias("shards"))
-    hits = runs.select("doc_id", "anchor").join(counted, "anchor").join(firsts, "doc_id", "left_semi")
-    wanted = hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
+    entries = (keys.agg(F.sum("n_words")).first()[0] or 0) * 2 / (window - gram + 2)  # a window of w grams has about 2 / (w + 1) anchors a word
+    buckets = max(1, math.ceil(entries / BUCKET_ENTRIES))
+    found = docs.mapInArrow(_bucketed(window, gram, buckets), PACKED).groupBy("bucket").applyInArrow(_recurring_anchors(buckets), HITS)
+    found = written(found.join(firsts, "doc_id", "left_semi"), "anchors")
+    counted = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y")
+    hits = found.join(counted.select("anchor", F.ceil(F.col("n") / SHARD_SEGMENTS).alias("shards")), "anchor")
+    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
     frequent_only = wanted.select("doc_id", F.filter("recurring", lambda x: x["shards"] > 1).alias("recurring")).filter(F.size("recurring") > 0)
     # the shuffled documents serve all three joins with them in one plan
     cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT)
@@ -274,7 +332,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """
     slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = slim.filter(F.col("doc_id").isNotNull())
-    keys = written(known.mapInArrow(_keys(window, GRAM), KEYS), "keys")
+    keys = written(known.mapInArrow(_keys, KEYS), "keys")
     classes = written(keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first")), "texts")
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
     ranges = repeated_ranges(known, keys, firsts, window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))

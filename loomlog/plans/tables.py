@@ -199,11 +199,11 @@ def routing_report(t):
 
 @query(
     "agent_commit_quality_weekly",
-    """SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS week, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 4) AS ok_rate, round(sum(o_totalprice) / nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0), 2) AS per_open FROM orders GROUP BY 1""",
+    """SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS week, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 4) AS ok_rate, round(sum(o_totalprice) / nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0), 4) AS per_open FROM orders GROUP BY 1""",
 )
 def agent_commit_quality_weekly(t):
     week = F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("week")
-    return t("orders").groupBy(week).agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 4).alias("ok_rate"), F.round(F.sum("o_totalprice") / F.nullif(F.count_if(F.col("o_orderstatus") == "P"), F.lit(0)), 2).alias("per_open"))
+    return t("orders").groupBy(week).agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 4).alias("ok_rate"), F.round(F.sum("o_totalprice") / F.nullif(F.count_if(F.col("o_orderstatus") == "P"), F.lit(0)), 4).alias("per_open"))
 
 
 @query(

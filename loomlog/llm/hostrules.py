@@ -21,6 +21,8 @@ MAX_REPEAT = 20
 #: Softer rules: per cent of symbols among characters in words, of repeated lines among lines with a word.
 MAX_SYMBOLS = 10
 MAX_DUP_LINES = 30
+#: Hosts (name and two numbers each) that are broadcast at most.
+FEW_HOSTS = 50_000
 #: A host is bad if its shrunk failure rate reaches this.
 HOST_LIMIT = 0.5
 
@@ -110,7 +112,9 @@ def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "failed",
     fitted = moments.first()  # one row, whatever the number of hosts
     m, strength = prior(*(fitted[c] for c in ("n", "f", "k", "q", "n2")))
     rate = F.lit(m) if strength is None else (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") >= limit)
+    verdicts = hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") >= limit)
+    # few hosts are broadcast, so that the documents needn't meet by host; more are joined by a shuffle that may be split
+    return F.broadcast(verdicts) if fitted["k"] <= FEW_HOSTS else verdicts
 
 
 def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:

@@ -251,7 +251,7 @@ def hidden_links(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: D
     shares = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     families = shares.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).filter("c > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    families = families.select("hub", F.col("top.comp").alias("main"), blocks.alias("blocks"))
+    families = written(families.select("hub", F.col("top.comp").alias("main"), blocks.alias("blocks")), "open")  # so that the join may split a large family
     open_rows = labelled.join(families, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     names = ["rep", "f1", "comp"]

@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     texts without words, have an empty set and are linked with nothing. Rows with a null id are in no component (null) and
     are kept. Rows that share an id but not the text are judged each by its text. Other columns play no part.
     """
-    slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    slim = picked(docs, doc_id=id, text=text)
     sketches = written(slim.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketcher(shingle), SKETCH), "sketches")
     classes = written(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
 

@@ -140,7 +140,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int =
     Null text is empty (one end token). Repeated rows are packed each. An empty table gives none.
     """
     path = path or vocabulary_path()
-    pieces = written(picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_Tokenize(length, end, path), PIECES), "pieces")
+    pieces = written(picked(docs, doc_id=id, text=text).mapInArrow(_Tokenize(length, end, path), PIECES), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     return dealt.groupBy("pack_group").applyInArrow(_packer(length), PIECES + ", sequence_id long, offset long")

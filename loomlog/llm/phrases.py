@@ -9,7 +9,7 @@ smaller id; its words are removed.
 2. Runs. Of each distinct text (exact copies need no search: a copy's windows all occur in the first of its kind) the runs
    of windows with a recurring anchor are cut out and dealt to shards by anchor, frequent anchors over several shards.
 3. Automata. A shard confirms which whole windows recur and where first, and compiles them, a bounded number at a time, to
-   word-level Aho-Corasick automata, through which all its runs are streamed to locate every occurrence. For an anchor
+   Aho-Corasick automata over overlapping ten-word letters, through which all its runs are streamed to locate every occurrence. For an anchor
    dealt to several shards the windows are confirmed by an aggregation first and each shard gets those of its anchor.
 4. The located windows return to the documents as ranges of words, by one join on the document.
 """
@@ -34,7 +34,9 @@ WINDOW, GRAM = 13, 5
 #: Runs of one anchor that a shard takes, and words of whole shards that go to one automaton.
 SHARD_SEGMENTS, AUTOMATON_WORDS = 4096, 400_000
 #: Bytes of hash by which the automata tell a word, and entries of an anchor bucket.
-WIDTH, BUCKET_ENTRIES = 6, 1_000_000
+WIDTH, BUCKET_ENTRIES = 6, 500_000
+#: Words of a letter of the automata: a window of 13 words is four overlapping letters of 10.
+LETTER = 10
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ RANGES = "doc_id long, begin long, end long"
 
 
 def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Compiles the recurring windows of whole shards to an automaton over word numbers and streams the shards' runs through it."""
+    """Compiles the recurring windows of whole shards to an automaton and streams the shards' runs through it."""
     rows = _Rows(table.column("words"), window)
     docs, start, shards = (longs(table.column(c)) for c in ("doc_id", "start", "shards"))
     given = table.column("start").is_null().to_numpy()
@@ -218,23 +220,25 @@ def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
     confirmed = np.flatnonzero(given)
     places, payload = np.concatenate((places, rows.offsets[confirmed])), np.concatenate((payload, docs[confirmed]))
     found = np.zeros((0, 2), dtype=np.int64)
-    numbers = np.unique(rows.flat, return_inverse=True)[1] + 1
     if len(places):
+        # a letter is LETTER words in a row, at each place; a window is as many letters as it has places for them
+        letters = min(LETTER, window)
+        length, row = window - letters + 1, owners(rows.offsets)
+        numbers = np.unique(gram_hashes(rows.flat, letters), return_inverse=True)[1] + 1
+        word = numbers.tolist()
         trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        words = numbers.tolist()
         for place, doc in zip(places.tolist(), payload.tolist(), strict=True):
-            trie.add_word(tuple(words[place : place + window]), doc)
+            trie.add_word(tuple(word[place : place + length]), doc)
         trie.make_automaton()
-        row = owners(rows.offsets)
-        streamed = ~given[row]
-        spaced = np.flatnonzero(streamed) + row[streamed]  # a 0, which is in no window, parts the runs
-        text = np.zeros(len(rows.flat) + table.num_rows + 1, dtype=np.int64)
-        text[spaced] = numbers[streamed]
+        begins = np.flatnonzero((row[: len(numbers)] == row[letters - 1 :]) & ~given[row[: len(numbers)]])
+        spaced = np.arange(len(begins)) + row[begins]  # at least one 0, which is no letter, parts the runs
+        text = np.zeros(len(begins) + table.num_rows + 1, dtype=np.int64)
+        text[spaced] = numbers[begins]
         found = np.array(list(trie.iter(tuple(text.tolist()))), dtype=np.int64).reshape(-1, 2)
         back = np.zeros(len(text), dtype=np.int64)
-        back[spaced] = np.flatnonzero(streamed)
+        back[spaced] = begins
     if len(found):
-        head, seen = back[found[:, 0]] - window + 1, found[:, 1]
+        head, seen = back[found[:, 0]] - length + 1, found[:, 1]
         where = row[head]
         gone = seen < docs[where]
         head, where = head[gone], where[gone]
@@ -330,7 +334,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     Null text has no words. Texts shorter than a window lose nothing. Rows that share an id are one document as to order:
     they never remove each other's words. Rows with a null id remove nothing and lose nothing.
     """
-    slim = picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    slim = picked(docs, doc_id=id, text=text)
     known = slim.filter(F.col("doc_id").isNotNull())
     keys = written(known.mapInArrow(_keys, KEYS), "keys")
     classes = written(keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first")), "texts")

@@ -151,7 +151,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pii_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: counts and digest of the base spans, all spans and their scores. Null text: no spans."""
-    return picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_digest, DIGEST)
+    return picked(docs, doc_id=id, text=text).mapInArrow(_digest, DIGEST)
 
 
 def _redactor(column: str):

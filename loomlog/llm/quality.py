@@ -87,7 +87,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_featured, "doc_id long, x array<double>")
+    return picked(docs, doc_id=id, text=text).mapInArrow(_featured, "doc_id long, x array<double>")
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, in every operator here: a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,10 +58,19 @@ def place_of(df: DataFrame, name: str) -> str:
 
 
 def picked(df: DataFrame, **names: str) -> DataFrame:
-    """df's columns of the given names under the keywords, and nothing else: picked(df, doc_id="id", text="body")."""
-    from pyspark.sql import functions as F
-
-    return numbered(df).select(*[F.col(place_of(df, name)).alias(own) for own, name in names.items()])
+    """df's columns of the given names under the keywords, and nothing else; a doc_id becomes a long.
+
+    Columns that have their name and type already are taken without an alias, so that plans which read a table twice stay
+    equal and Spark shuffles it once.
+    """
+    lower = [c.lower() for c in df.columns]
+    if all(own == name and lower.count(name.lower()) == 1 for own, name in names.items()):
+        out = df.select(*names)
+    else:
+        out = numbered(df).select(*[F.col(place_of(df, name)).alias(own) for own, name in names.items()])
+    if dict(out.dtypes).get("doc_id", "bigint") != "bigint":
+        out = out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -157,7 +157,7 @@ def token_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
 
     Null and empty texts have no words. Rows keep their ids, null or repeated.
     """
-    return picked(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_counter(path or vocabulary_path()), COUNTS)
+    return picked(docs, doc_id=id, text=text).mapInArrow(_counter(path or vocabulary_path()), COUNTS)
 
 
 def op2_longest_match(spark, sf_dir: str) -> DataFrame:

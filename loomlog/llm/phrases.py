@@ -37,6 +37,8 @@ SHARD_SEGMENTS, AUTOMATON_WORDS = 4096, 400_000
 WIDTH, BUCKET_ENTRIES = 6, 500_000
 #: Words of a letter of the automata: a window of 13 words is four overlapping letters of 10.
 LETTER = 10
+#: A letter's number is written in digits of this base.
+DIGITS = 64
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +211,17 @@ def _first_windows(window: int):
 RANGES = "doc_id long, begin long, end long"
 
 
+def _signs(letters: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """Each letter (1 to most; 0: a gap) as k digits, told apart by their place; a node of the automaton looks through its
+    children one by one, so it must not have thousands."""
+    k = 1
+    while DIGITS**k <= most:
+        k += 1
+    places = np.arange(k)
+    digits = letters[:, None] // DIGITS**places % DIGITS + 1 + places * DIGITS
+    return np.where(letters[:, None] > 0, digits, 0).ravel(), k
+
+
 def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
     """Compiles the recurring windows of whole shards to an automaton and streams the shards' runs through it."""
     rows = _Rows(table.column("words"), window)
@@ -225,16 +238,18 @@ def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
         letters = min(LETTER, window)
         length, row = window - letters + 1, owners(rows.offsets)
         numbers = np.unique(gram_hashes(rows.flat, letters), return_inverse=True)[1] + 1
-        word = numbers.tolist()
+        signs, k = _signs(numbers, int(numbers.max()))
         trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for place, doc in zip(places.tolist(), payload.tolist(), strict=True):
-            trie.add_word(tuple(word[place : place + length]), doc)
+        sign = signs.tolist()
+        for place, doc in zip((places * k).tolist(), payload.tolist(), strict=True):
+            trie.add_word(tuple(sign[place : place + length * k]), doc)
         trie.make_automaton()
         begins = np.flatnonzero((row[: len(numbers)] == row[letters - 1 :]) & ~given[row[: len(numbers)]])
         spaced = np.arange(len(begins)) + row[begins]  # at least one 0, which is no letter, parts the runs
         text = np.zeros(len(begins) + table.num_rows + 1, dtype=np.int64)
         text[spaced] = numbers[begins]
-        found = np.array(list(trie.iter(tuple(text.tolist()))), dtype=np.int64).reshape(-1, 2)
+        found = np.array(list(trie.iter(tuple(_signs(text, int(numbers.max()))[0].tolist()))), dtype=np.int64).reshape(-1, 2)
+        found[:, 0] //= k
         back = np.zeros(len(text), dtype=np.int64)
         back[spaced] = begins
     if len(found):

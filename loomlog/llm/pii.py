@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import numbered, picked, place_of, steps
+from .shared import numbered, picked, place_of, small_batches, steps
 
 #: The kinds whose spans are fixed by the contract, in order, then those that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -170,6 +170,7 @@ def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars")
     """
     names, at = docs.columns, place_of(docs, text)
     given = numbered(docs)
+    small_batches(docs.sparkSession)
     schema = StructType([StructField(f.name, StringType() if f.name == at else f.dataType) for f in given.schema])
     new = given.mapInArrow(_redactor(at), schema)
     if size in names:

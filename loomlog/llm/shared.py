@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,6 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand rows at a time, unless the session asks for a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1, ... by place, so that no name of its own, doubled or not, clashes with ours."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -63,6 +72,8 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     Columns that have their name and type already are taken without an alias, so that plans which read a table twice stay
     equal and Spark shuffles it once.
     """
+    if "text" in names:
+        small_batches(df.sparkSession)
     lower = [c.lower() for c in df.columns]
     if all(own == name and lower.count(name.lower()) == 1 for own, name in names.items()):
         out = df.select(*names)
@@ -73,8 +84,22 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     return out
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: an idle worker otherwise keeps what its last task has used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text each, one row at least."""
+    try:
+        yield from _slices(batches, text, limit)
+    finally:
+        _give_back()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0

@@ -29,8 +29,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a training sequence."""
-    return packing.pack(docs)
+    """One row per piece of a document, with its place in a training sequence; sequences follow the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("source_mix", source_mix), ("packing", packed)]

@@ -8,6 +8,10 @@ total length's least number of bins (as best fit does), the rule in random order
 Documents are tokenized where they lie; only piece lengths are shuffled. Pieces are dealt by a hash to groups of about
 GROUP_PIECES, and each group packs its own bins, largest pieces first, so the work is parallel and a lost executor costs
 one group. A group leaves a few bins part full.
+
+A table whose order is to last (the mix of sources) is packed by windows of it instead: contiguous ranges of WINDOW_PIECES
+pieces in the order of the written rows, each packed by itself, with sequences numbered by their earliest piece. So the
+sequences up to any window's end hold exactly the pieces up to it, in the sources' shares of the mix.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import picked, steps, written
+from .shared import picked, small_batches, steps, written
 
 LENGTH = 1024
 #: Token written after each document.
 END = 2
 GROUP_PIECES = 60_000
+#: Pieces of a window of an ordered table, some hundred blocks of a mix.
+WINDOW_PIECES = 2_048
+#: Rows of a file whose pieces are counted together.
+CHUNK_ROWS = 4_096
 
 #: Characters that both tokenizer libraries are known (and tested) to split alike; other texts go to the slower one.
 _COMMON = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\u00a1-\\u024f\\u2010-\\u2027]")
@@ -75,6 +83,8 @@ def cut(total: int, length: int) -> list[tuple[int, int]]:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Where a row lies in a written table: the file by its place among the writer's, and the row in it.
+PLACE = ("_file", "_row")
 
 
 class _Tokenize:
@@ -84,12 +94,15 @@ class _Tokenize:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([self.end], dtype=np.uint32)
         for batch in steps(batches):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            rows, places = [], [batch.column(n) for n in batch.schema.names if n in PLACE]
+            owner = []
+            for at, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                 ids = np.concatenate((token_ids(text.as_py() or "", self.path), tail)).astype("<u4")
                 rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), self.length))]
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                owner += [at] * (len(rows) - len(owner))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            columns += [c.take(pa.array(owner)) for c in places]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *PLACE[: len(places)]])
 
 
 def place(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -134,6 +147,48 @@ def _packer(length: int):
     return packed
 
 
+def _window_packer(length: int):
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rank")
+        bins, offsets, used = place(sizes := table.column("length").to_numpy(), length)
+        first = np.full(used, len(sizes), dtype=np.int64)
+        np.minimum.at(first, bins, np.arange(len(sizes)))
+        number = np.empty(used, dtype=np.int64)
+        number[np.argsort(first)] = np.arange(used)
+        base = table.column("_window")[0].as_py() << 36
+        return table.drop_columns(["_window", "_rank"]).append_column("sequence_id", pa.array(number[bins] + base)).append_column("offset", pa.array(offsets))
+
+    return packed
+
+
+def pack_in_order(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, window_pieces: int = WINDOW_PIECES, path: str | None = None) -> DataFrame:
+    """Rows as pack() makes them, of a Parquet table as read, packed by windows of its order; sequence_id ascends in that order.
+
+    The order is that of the writer's files and of the rows in each, which is the order that was written.
+    """
+    path = path or vocabulary_path()
+    name = F.col("_metadata.file_name")
+    part = lambda of: F.coalesce(F.nullif(F.regexp_extract(name, of, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    # part-00012-...-c003.snappy.parquet: the task, and its files one after the other
+    named = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (part(r"^part-(\d{1,12})") * (1 << 20) + part(r"-c(\d{1,6})\.")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    small_batches(docs.sparkSession)
+    pieces = written(named.mapInArrow(_Tokenize(length, end, path), PIECES + ", _file long, _row long"), "pieces").withColumn("_chunk", F.floor(F.col("_row") / CHUNK_ROWS))
+    counts = pieces.groupBy("_file", "_chunk").agg(F.count("*").alias("_n"))
+    # the driver lists the table's files anyway
+    files = sorted((r["_file"], r["n"]) for r in counts.groupBy("_file").agg(F.sum("_n").alias("n")).collect())
+    starts, total = [], 0
+    for file, n in files:
+        starts.append((file, total))
+        total += n
+    earlier = docs.sparkSession.createDataFrame(starts, "_file long, _earlier long")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = counts.withColumn("_before", before).join(earlier, "_file").select("_file", "_chunk", (F.col("_earlier") + F.col("_before")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_chunk").orderBy("_row", "piece", "doc_id")) - 1
+    ranked = pieces.withColumn("_inside", inside).join(chunks, ["_file", "_chunk"]).withColumn("_rank", F.col("_before") + F.col("_inside"))
+    dealt = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank", F.floor(F.col("_rank") / window_pieces).alias("_window"))
+    return dealt.groupBy("_window").applyInArrow(_window_packer(length), PIECES + ", sequence_id long, offset long")
+
+
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, group_pieces: int = GROUP_PIECES, path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

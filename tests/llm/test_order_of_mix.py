@@ -46,3 +46,23 @@ def test_pieces_of_long_documents_stay_in_order(spark):
             assert offset == end
             end += length
         assert end <= 1024
+
+
+def test_thousands_of_sources_keep_their_targets(spark):
+    """Each block lies in the window of the target weight itself, also for a source of 0.2 among 3000 others."""
+    made = spark.range(6000).selectExpr("id AS doc_id", "IF(id < 3000, concat('s', cast(id AS string)), 'big') AS source", "repeat('x', 100) AS text")
+    weights = {f"s{i}": 0.8 / 3000 for i in range(3000)} | {"big": 0.2}
+    rows = mixing.mixed_blocks(made, block_bytes=100, weights=weights).collect()
+    assert len(rows) == 6000 and len({r._slot for r in rows}) == 6000
+    for r in rows:
+        w = weights[r._source]
+        assert r._block / w - 1.001 < r._slot < (r._block + 1) / w + 0.001
+    served = 0
+    for r in sorted((r for r in rows if r._source == "big"), key=lambda r: r._slot):
+        assert abs(served - 0.2 * r._slot) < 1.001
+        served += 1
+
+
+def test_more_than_a_hundred_thousand_sources(spark):
+    made = spark.range(100_001).selectExpr("id AS doc_id", "cast(id AS string) AS source", "'x' AS text")
+    assert mixing.mixed_blocks(made).select("_slot").distinct().count() == 100_001

@@ -51,29 +51,47 @@ class VaFile:
         return least + below, least + above
 
     def top(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its k best (score, ties to the smaller id) other than itself: (query, ids, scores)."""
+        """For each query its k best ids (score, ties to the smaller id) other than its own: (query, ids, scores).
+
+        An id that several rows have counts once, with its best row: bounds and the k-th score are taken over distinct ids.
+        """
+        distinct, group = np.unique(ids, return_inverse=True)
+        repeated = len(distinct) < len(ids)
+        by_id, firsts = np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group))[:-1]))
         for at in range(0, len(queries), SCAN):
             part = queries[at : at + SCAN]
             least, greatest = self.bounds(part)
             own = ids[None, :] == query_ids[at : at + SCAN, None]
             least[own] = greatest[own] = -np.inf
+            if repeated:
+                least = np.maximum.reduceat(least[:, by_id], firsts, axis=1)
             for i, q in enumerate(part):
-                n = int((~own[i]).sum())
+                n = len(distinct) - int(own[i].any())
                 if not n:
                     continue
                 short = min(k, n)
-                kth = np.partition(least[i], len(ids) - short)[len(ids) - short]
+                kth = np.partition(least[i], len(distinct) - short)[len(distinct) - short]
                 near = np.flatnonzero((greatest[i] >= kth) & ~own[i])
                 near = near[np.argsort(-greatest[i][near], kind="stable")]
-                read, scores, chunk = 0, np.zeros(0), max(32, 2 * k)
+                read, found, scores, chunk = 0, np.zeros(0, np.int64), np.zeros(0), max(32, 2 * k)
                 while read < len(near):
-                    scores = np.concatenate((scores, self.vectors[near[read : read + chunk]] @ q))
+                    step = near[read : read + chunk]
+                    found, scores = np.concatenate((found, group[step])), np.concatenate((scores, self.vectors[step] @ q))
+                    if repeated:
+                        found, scores = _best_of_each(found, scores)
                     read += chunk
                     if len(scores) >= short and read < len(near) and np.partition(scores, len(scores) - short)[len(scores) - short] > greatest[i][near[read]]:
                         break
-                found = near[: len(scores)]
-                best = np.lexsort((ids[found], -scores))[:k]
-                yield at + i, ids[found[best]], scores[best]
+                best = np.lexsort((found, -scores))[:k]
+                yield at + i, distinct[found[best]], scores[best]
+
+
+def _best_of_each(keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with its highest score."""
+    order = np.lexsort((-scores, keys))
+    keys, scores = keys[order], scores[order]
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return keys[first], scores[first]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -1,0 +1,35 @@
+"""Vector search where rows share an id, against brute force."""
+
+import os
+import sys
+
+import numpy as np
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from pyspark.sql import functions as F
+
+from loomlog.llm import vafile
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(3)
+    table = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    table += [(7, (np.array(table[q][1]) * (3 + rng.random())).tolist()) for q in (0, 100, 200) for _ in range(40)]  # the best of each query
+    table += [(9, table[9][1])] * 25 + [(100, table[3][1])] * 12
+    v = vafile.integer_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>"))
+    asked = [(i, np.floor(1024 * np.array(x))) for i, x in table]
+    want = []
+    for q in (0, 100, 200):
+        best = {}
+        for own, vector in ((i, x) for i, x in asked if i == q):
+            for i, x in asked:
+                if i != q:
+                    best[i] = max(best.get(i, -(1 << 60)), int(vector @ x))
+        ranked = sorted((-s, i) for i, s in best.items())[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
+    for blocks in ((2048, 16_384), (2, 50)):
+        got = vafile.top_k(v, v.filter(F.col("vec_id") % 100 == 0), 10, 6, *blocks).select("query_id", "rank", "vec_id", "score")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    few = v.filter("vec_id IN (7, 9)")
+    assert vafile.top_k(few, v.filter("vec_id = 0"), 10).count() == 2

@@ -53,6 +53,6 @@ def repo_name(root: Column) -> Column:
 
 def task_mentions(text: Column, pad: int = 0) -> Column:
     """Distinct task keys (PREFIX-number) of a text, sorted; numbers are padded with zeros to a width."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z]+-[0-9]+)\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][A-Z]+-[0-9]+)(?![\p{L}\p{N}_])"), F.lit(1))
     number = lambda k: F.regexp_replace(F.substring_index(k, "-", -1), "^0+(?=[0-9])", "")
     return F.array_sort(F.array_distinct(F.transform(found, lambda k: F.concat(F.substring_index(k, "-", 1), F.lit("-"), F.lpad(number(k), F.greatest(F.length(number(k)), F.lit(pad)), F.lit("0"))))))

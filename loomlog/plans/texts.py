@@ -96,6 +96,12 @@ def task_mentions(t):
     return t("documents").filter("lang = 'en'").select("doc_id", F.explode(names.task_mentions(made, 4)).alias("key")).groupBy("key").agg(F.count("*").alias("docs"))
 
 
+@query("task_mentions_whole_text")
+def task_mentions_whole_text(t):
+    """The task keys of every document, wherever in its text they stand, in all languages."""
+    return t("documents").select("doc_id", names.task_mentions(F.col("text"), 4).alias("keys"))
+
+
 @query(
     "slug_project_feature_keys",
     r"""SELECT page_id, nullif(lower(regexp_replace(regexp_replace(url, '(\.git)?/*$', ''), '^(?:[a-z+]+://)?(?:[^@/]+@)?([^:/]+)(?::[0-9]+)?[:/]+', '\1/')), '') AS slug,

@@ -34,10 +34,24 @@ def daily_usage_priced(t):
     FROM lineitem WHERE l_partkey % 50 = 1""",
 )
 def scd_price_lookup(t):
-    """The version of a part's price that held when it was shipped."""
+    """The version of a part's price that held when it was shipped, of one part in fifty."""
+    return _price_versions(t, t("lineitem").filter("l_partkey % 50 = 1"))
+
+
+@query(
+    "scd_price_lookup_all_lines",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_shipdate >= TIMESTAMP '2000-06-01' THEN 'v3' WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 'v2' WHEN l_shipdate >= TIMESTAMP '1996-01-01' THEN 'v1' END AS version
+    FROM lineitem""",
+)
+def scd_price_lookup_all_lines(t):
+    """The same of every line."""
+    return _price_versions(t, t("lineitem"))
+
+
+def _price_versions(t, lines):
     versions = F.array(*[F.struct(F.lit(d).cast("timestamp_ntz").alias("since"), F.lit(v).alias("version")) for d, v in (("1996-01-01", "v1"), ("1998-01-01", "v2"), ("2000-06-01", "v3"))])
     prices = t("part").select(F.col("p_partkey").alias("l_partkey"), F.inline(versions))
-    rows = t("lineitem").filter("l_partkey % 50 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     return temporal.valid_at(rows, prices, "l_partkey", "l_shipdate", "since").drop("l_shipdate")
 
 

@@ -22,3 +22,9 @@ def test_task_keys_anywhere_in_any_language(spark, tmp_path):
         found = re.findall(r"(?<!\w)([A-Z]{2,})-([0-9]+)(?!\w)", x or "")
         assert got[i] == (None if x is None else sorted({f"{p}-{int(n):04d}" for p, n in found}))
     assert got[0] == ["DB-12345", "OPS-0007"] and got[1] == ["WEB-0031"] and got[3] == ["QA-0009"]
+
+
+def test_every_line_has_its_price_version(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    got = library.queries()["scd_price_lookup_all_lines"](spark, SF)
+    assert got.count() == lines.count() > 10 * library.queries()["scd_price_lookup"](spark, SF).count()

@@ -20,7 +20,8 @@ CHECKED = 65_536
 PADDING = 1 << 20
 
 LINES = "path string, byte_offset long, byte_length long, line_no long, raw string"
-STATE = "path string, size long, offset long, lines long, head_sha string, tail_sha string, padding long"
+CHANGES = LINES + ", rewritten boolean"
+STATE = "path string, size long, offset long, lines long, head_sha string, tail_sha string, padding long, modified long"
 
 
 def digest(content: bytes, end: int) -> tuple[str, str]:
@@ -49,8 +50,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content, start = row["content"] or b"", row["offset"] or 0
             grown = start and start <= len(content) and digest(content, start) == (row["head_sha"], row["tail_sha"])
             found = list(split_lines(content, start, row["lines"] or 0) if grown else split_lines(content))
-            columns = [[row["path"]] * len(found), *([x[i] for x in found] for i in range(3)), [x[3].decode("utf-8", "replace").replace("\0", "") for x in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "byte_offset", "byte_length", "line_no", "raw"])
+            lost = bool(start and not grown)
+            if lost and not found:
+                found = [(None, None, None, b"")]
+            columns = [[row["path"]] * len(found), *([x[i] for x in found] for i in range(3)), [x[3].decode("utf-8", "replace").replace("\0", "") for x in found], [lost] * len(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], ["path", "byte_offset", "byte_length", "line_no", "raw", "rewritten"])
 
 
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +63,8 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             content = row["content"] or b""
             end = content.rfind(b"\n") + 1
-            rows.append({"path": row["path"], "size": len(content), "offset": end, "lines": content.count(b"\n"), **dict(zip(("head_sha", "tail_sha"), digest(content, end), strict=True)), "padding": padding(content, end)})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("size", "offset", "lines")), ("head_sha", pa.string()), ("tail_sha", pa.string()), ("padding", pa.int64())]))
+            rows.append({"path": row["path"], "size": len(content), "offset": end, "lines": content.count(b"\n"), **dict(zip(("head_sha", "tail_sha"), digest(content, end), strict=True)), "padding": padding(content, end), "modified": row["modified"]})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("size", "offset", "lines")), ("head_sha", pa.string()), ("tail_sha", pa.string()), ("padding", pa.int64()), ("modified", pa.int64())]))
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -69,27 +73,39 @@ def files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
 
 def file_states(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """What a read of the files has seen: the state that the next read starts from."""
-    return files(spark, root, pattern).select("path", "content").mapInArrow(_states, STATE)
+    return files(spark, root, pattern).select("path", "content", F.unix_micros("modificationTime").alias("modified")).mapInArrow(_states, STATE)
 
 
-def read_lines(spark: SparkSession, root: str, state: DataFrame | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """Every complete line with its position. With the state of an earlier read, only what came since: a file of the same size
-    is left out before it is read, a grown one is read from its offset if both ends of the old part are unchanged, and a
-    rewritten or shorter one is read anew (its old rows are then to be purged: see rewritten)."""
-    found = files(spark, root, pattern)
+def read_changes(spark: SparkSession, root: str, state: DataFrame | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """Every complete line with its position, and whether its file was rewritten. With the state of an earlier read, only what
+    came since: a file of the same size and time is left out before it is read, a grown one is read from its offset if both
+    ends of the old part are unchanged, and a rewritten or shorter one is read anew: the old rows of its path are then to be
+    purged (by an anti join on the paths marked rewritten). One without lines has one row, of nulls and an empty raw.
+    Spark doesn't list files of no bytes, so one emptied to nothing is not told from one that is gone."""
+    found = files(spark, root, pattern).withColumn("_modified", F.unix_micros("modificationTime"))
     if state is None:
         given = found.select("path", "content", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("lines"), F.lit(None).cast("string").alias("head_sha"), F.lit(None).cast("string").alias("tail_sha"))
     else:
-        known = state.select("path", "size", "offset", "lines", "head_sha", "tail_sha")
-        changed = found.select("path", "length").join(known, "path", "left").filter(F.col("size").isNull() | (F.col("length") != F.col("size"))).drop("length", "size")
+        modified = F.col("modified") if "modified" in state.columns else F.lit(None).cast("long").alias("modified")
+        known = state.select("path", "size", "offset", "lines", "head_sha", "tail_sha", modified)
+        same = (F.col("length") == F.col("size")) & (F.col("_modified") == F.col("modified"))
+        changed = found.select("path", "length", "_modified").join(known, "path", "left").filter(~F.coalesce(same, F.lit(False))).drop("length", "size", "_modified", "modified")
         given = found.select("path", "content").join(changed, "path")
-    return given.select("path", "content", "offset", "lines", "head_sha", "tail_sha").mapInArrow(_lines, LINES)
+    return given.select("path", "content", "offset", "lines", "head_sha", "tail_sha").mapInArrow(_lines, CHANGES)
+
+
+def read_lines(spark: SparkSession, root: str, state: DataFrame | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """The lines of read_changes alone."""
+    return read_changes(spark, root, state, pattern).filter("byte_offset IS NOT NULL").drop("rewritten")
 
 
 def rewritten(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths whose old part changed: rows that came from them are purged by an anti join on the path."""
-    o = old.select("path", F.col("offset").alias("_o"), F.col("head_sha").alias("_h"))
-    return new.join(o, "path").filter((F.col("offset") < F.col("_o")) | ((F.col("_o") >= CHECKED) & (F.col("head_sha") != F.col("_h")))).select("path")
+    """Paths whose old part changed, as far as two states tell: shorter ones, others by their heads from CHECKED bytes on, and
+    those of equal length by both ends. What read_changes marks is exact at every size."""
+    o = old.select("path", F.col("offset").alias("_o"), F.col("head_sha").alias("_h"), F.col("tail_sha").alias("_t"))
+    head = (F.col("_o") >= CHECKED) & (F.col("head_sha") != F.col("_h"))
+    ends = (F.col("offset") == F.col("_o")) & ((F.col("head_sha") != F.col("_h")) | (F.col("tail_sha") != F.col("_t")))
+    return new.join(o, "path").filter((F.col("offset") < F.col("_o")) | head | ends).select("path")
 
 
 def file_role(path: Column) -> Column:

@@ -31,7 +31,7 @@ def awkward(seed=0, n=60):
             own = words(20)
             t = " ".join(own[:9] + passage + own[9:])
         elif kind == 3:
-            t = r.choice([None, "", " \n\t ", "one", "two words", "É #x +1 (168) 555-5254 \U0001f600"])
+            t = r.choice([None, "", " \n\t ", "one", "two words", "É #x +1 (168) 555-5254 \U0001f600", "a<|endoftext|> <|endoftext|>b"])
         elif kind == 4:
             t = "\n".join([" ".join(passage[:15])] * 4)
         else:
@@ -134,9 +134,17 @@ def test_estimate_and_merge():
     assert abs(j - 0.8) < 0.15
 
 
+def given_tokenizer():
+    """The tokenizer as the file has it, untouched."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_packing(docs):
     got = packing.pack(docs, group_pieces=20).collect()
-    slow, _ = packing._encoders(packing.vocabulary_path())
+    slow = given_tokenizer()
     import struct
     import zlib
 
@@ -160,7 +168,8 @@ def test_packing(docs):
 
 
 def test_fast_tokens_equal_slow_ones():
-    slow, _ = packing._encoders(packing.vocabulary_path())
+    slow = given_tokenizer()
+    assert packing.token_ids("<|endoftext|> hi", packing.vocabulary_path()).tolist() == [50256, 23105]
     r = random.Random(5)
     letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(161, 592), *range(0x2010, 0x2028)]] + [" "] * 200 + ["'ll", "\n\n", "   ", "É", "<|endoftext|>", "0", "ing"] * 5
     for _ in range(400):
@@ -178,6 +187,29 @@ def test_place_is_near_the_least():
     assert (np.bincount(bins, weights=sizes) <= 1024).all()
 
 
+def test_place_is_the_rule():
+    """Each piece goes where the sum of squared counts of open bins by gap becomes least, a new bin included while fewer are open than needed."""
+    import numpy as np
+
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, 41, rng.integers(1, 120))
+        bins, offsets, used = packing.place(sizes, 40)
+        least, gaps = -(-int(sizes.sum()) // 40), []
+        squares = lambda of: sum(of.count(g) ** 2 for g in set(of) - {0})
+        for item in np.argsort(-sizes, kind="stable"):
+            s, b = int(sizes[item]), int(bins[item])
+            after = [squares([*gaps[:k], g - s, *gaps[k + 1 :]]) for k, g in enumerate(gaps) if g >= s]
+            if len(gaps) < least or not after:
+                after.append(squares([*gaps, 40 - s]))
+            if b == len(gaps):
+                gaps.append(40)
+            assert offsets[item] == 40 - gaps[b]
+            gaps[b] -= s
+            assert squares(gaps) == min(after)
+        assert used == len(gaps) and min(gaps) >= 0
+
+
 def test_rules(docs):
     def judge(t):
         w, lines = words_of(t), [x for x in (t or "").split("\n") if WORD.search(x)]

@@ -1,48 +1,19 @@
-"""Vector search against brute force, all queries with SQL against DuckDB, and the pipeline stage by stage."""
+"""All queries with SQL against DuckDB, and the pipeline stage by stage."""
 
 import os
 import sys
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import rows_of, rows_of_sql
 
 import corpus_pipeline
-from loomlog.llm import queries, vafile
+from loomlog.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_search(spark):
-    rng = np.random.default_rng(0)
-    table = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)]
-    table += [(400, None), (401, [1.0, None, *[0.0] * 6]), (402, [float("nan")] + [0.0] * 7), (403, [float("inf")] + [0.0] * 7), (404, []), (None, [0.5] * 8)]
-    table += [(500 + i, [0.25] * 8) for i in range(40)] + [(600, [0.25] * 8)]  # ties
-    v = vafile.integer_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>"))
-    good = {i: np.floor(1024 * np.array(x)) for i, x in table if i is not None and i not in (400, 401, 402, 403, 404)}
-    want = []
-    for q in (i for i in good if i % 100 == 0):
-        best = sorted(((-int(good[q] @ x), i) for i, x in good.items() if i != q))[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    for blocks in ((2048, 16_384), (2, 50)):
-        got = vafile.top_k(v, v.filter(F.col("vec_id") % 100 == 0), 10, 6, *blocks).select("query_id", "rank", "vec_id", "score")
-        assert sorted(map(tuple, got.collect())) == sorted(want)
-    few = v.filter("vec_id < 4")
-    assert vafile.top_k(few, few, 10).count() == 12
-    assert vafile.top_k(v.limit(0), v.limit(0)).count() == 0
-
-
-def test_cells_save_reads():
-    rng = np.random.default_rng(1)
-    file = vafile.VaFile(np.floor(1024 * rng.normal(size=(500, 16))))
-    least, greatest = file.bounds(file.vectors[:20])
-    exact = file.vectors[:20] @ file.vectors.T
-    assert (least <= exact).all() and (exact <= greatest).all()
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, duck, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == rows_of_sql(duck, queries.ORACLES[name])

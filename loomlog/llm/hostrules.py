@@ -21,12 +21,17 @@ MAX_REPEAT = 20
 #: Softer rules: per cent of symbols among characters in words, of repeated lines among lines with a word.
 MAX_SYMBOLS = 10
 MAX_DUP_LINES = 30
-#: Hosts (name and two numbers each) that are broadcast at most.
-FEW_HOSTS = 50_000
+#: Bytes of hosts' names and verdicts that are broadcast at most.
+MOST_BROADCAST = 4 << 20
 #: A host is bad if its shrunk failure rate reaches this.
 HOST_LIMIT = 0.5
 
 
+def host_of(source: Column) -> Column:
+    """The domain of a URL, or the name itself: lower case, without scheme, user, www., port and path. Null: ''."""
+    return F.regexp_extract(F.lower(F.coalesce(source.cast("string"), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?(?:www\.)?([^/:?#]*)", 1)
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once a row; an alias may be inlined into a lambda and computed for each element."""
     return F.transform(F.array(value), body)[0]
@@ -108,23 +113,25 @@ def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "failed",
     moments = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("k"),
         F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("q"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("n2"),
+        F.coalesce(F.sum(F.octet_length(F.col(host)) + 64), F.lit(0)).alias("bytes"),
     )
     fitted = moments.first()  # one row, whatever the number of hosts
     m, strength = prior(*(fitted[c] for c in ("n", "f", "k", "q", "n2")))
     rate = F.lit(m) if strength is None else (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
     verdicts = hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") >= limit)
     # few hosts are broadcast, so that the documents needn't meet by host; more are joined by a shuffle that may be split
-    return F.broadcast(verdicts) if fitted["k"] <= FEW_HOSTS else verdicts
+    return F.broadcast(verdicts) if fitted["bytes"] <= MOST_BROADCAST else verdicts
 
 
 def rule_table(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document, without its text: doc_id, text_hash, host, the rules' columns, host_rate, host_bad and kept.
 
     A document goes if it fails a base rule, or if its host is bad and it fails a soft rule itself: a clean document of a
-    bad host stays. Null hosts are one host (''). Repeated rows are judged alike and each counts. Null text fails. The
-    rules are computed once and written; hosts are counted from what was written.
+    bad host stays. The host is host_of(the column), so URLs of a domain count together. Null hosts are one host (''). Repeated
+    rows are judged alike and each counts. Null and empty texts fail; texts are judged whole, however long. An empty table gives
+    none. Other columns, also of like names, play no part. The rules are computed once and written; hosts are counted from that.
     """
-    given = picked(docs, doc_id=id, host=host, text=text).withColumn("host", F.coalesce(F.col("host").cast("string"), F.lit("")))
+    given = picked(docs, doc_id=id, host=host, text=text).withColumn("host", host_of(F.col("host")))
     slim = written(document_rules(given).withColumn("text_hash", F.xxhash64("text")).drop("text"), "rules")
     verdicts = host_verdicts(slim.select("host", (F.col("base_failed") | (F.col("n_soft") > 0)).alias("failed")), limit=limit)
     return slim.join(verdicts.select("host", "host_rate", "host_bad"), "host").withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & (F.col("n_soft") > 0)))
@@ -143,7 +150,7 @@ def op10_host_rules(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+WITH d AS (SELECT doc_id, regexp_extract(lower(coalesce(source, '')), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?(?:www\.)?([^/:?#]*)', 1) AS host, coalesce(text, '') AS t,
     list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),

@@ -87,6 +87,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, x): FEATURES of each row's whole text, all finite. Null, empty and blank texts have those of no words; repeated
+    rows are read each, a null id stays null, an empty table gives none. Other columns, also of like names, play no part."""
     return picked(docs, doc_id=id, text=text).mapInArrow(_featured, "doc_id long, x array<double>")
 
 
@@ -104,10 +106,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Means, Cholesky factors and log priors of the classes 0 and 1, and the calibration of their margin."""
+    """Means, inverted Cholesky factors and log priors less log determinants of the classes 0 and 1, and the calibration of
+    their margin. A row of z = inverse @ (x - mean) has the Mahalanobis distance as its squared length."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     logs: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
@@ -115,9 +118,9 @@ class Model:
     def margins(self, x: np.ndarray) -> np.ndarray:
         """log density and prior of class 1 less those of class 0."""
         parts = []
-        for mean, factor, log in zip(self.means, self.factors, self.logs, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            parts.append(log - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for mean, inverse, log in zip(self.means, self.inverses, self.logs, strict=True):
+            z = inverse @ (x - mean).T
+            parts.append(log - 0.5 * (z * z).sum(axis=0))
         return np.clip(parts[1] - parts[0], -EDGE, EDGE)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -134,7 +137,7 @@ def fitted(training: DataFrame) -> Model | float:
     counts = [sums[label][0] for label in (0, 1)]
     if not all(counts):
         return (counts[1] + 0.5) / (sum(counts) + 1)
-    means, factors, logs = [], [], []
+    means, inverses, logs = [], [], []
     pooled = sum(sums[label][1 + d :].reshape(d, d) for label in (0, 1)) / sum(counts)
     centre = sum(sums[label][1 : 1 + d] for label in (0, 1)) / sum(counts)
     spread = np.maximum(np.diag(pooled) - centre * centre, 1e-6)
@@ -143,9 +146,10 @@ def fitted(training: DataFrame) -> Model | float:
         own = sums[label][1 + d :].reshape(d, d) / n - np.outer(mean, mean)
         share = SHRINK / (SHRINK + n)
         means.append(mean)
-        factors.append(np.linalg.cholesky((1 - share) * own + (share + 1e-4) * np.diag(spread)))
-        logs.append(np.log(n / sum(counts)))
-    model = Model(np.array(means), np.array(factors), np.array(logs))
+        factor = np.linalg.cholesky((1 - share) * own + (share + 1e-4) * np.diag(spread))
+        inverses.append(np.linalg.inv(factor))
+        logs.append(np.log(n / sum(counts)) - np.log(np.diag(factor)).sum())
+    model = Model(np.array(means), np.array(inverses), np.array(logs))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,14 +169,24 @@ def calibrated(model: Model, bins: np.ndarray) -> Model:
     bins = bins.copy()
     bins[:, 0] += 1
     bins[:, -1] += 1
-    w = np.array([0.5, 0.0])
     total, ones = bins.sum(axis=0), bins[1]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w[0] * middle + w[1], -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        at = w[0] * middle + w[1]
+        return float((total * np.logaddexp(0, at) - ones * at).sum())
+
+    w = np.array([0.1, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(w[0] * middle + w[1])))
         rest, curve = ones - total * p, total * p * (1 - p)
-        h = np.array([[(curve * middle * middle).sum(), (curve * middle).sum()], [(curve * middle).sum(), curve.sum()]]) + 1e-6 * np.eye(2)
+        h = np.array([[(curve * middle * middle).sum(), (curve * middle).sum()], [(curve * middle).sum(), curve.sum()]]) + 1e-9 * np.eye(2)
         step = np.linalg.solve(h, [(rest * middle).sum(), rest.sum()])
-        w = w + np.clip(step, -1, 1)
+        share = 1.0
+        while share > 1e-9 and loss(w + share * step) > loss(w):  # a whole Newton step may go too far
+            share /= 2
+        w = w + share * step
+        if np.abs(share * step).max() < 1e-12:
+            break
     model.slope, model.shift = max(1e-3, float(w[0])), float(w[1])
     return model
 
@@ -192,12 +206,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 
     Learns from labelled rows whose crc32(doc_id as text) mod folds isn't 0, by the text's statistics alone. Labels other
     than 0 and 1 are passed over; of an id labelled both ways both count. Null and empty texts are scored like any other. A
-    null id is scored, never learned from, and not held out.
+    null id is scored, never learned from, and not held out. Without labels of both kinds every score is the same. Repeated rows
+    are scored each, and learned from each if labelled. Other columns of either table play no part.
     """
     table = written(document_features(docs), "features")
     part = F.crc32(F.col("doc_id").cast("string")) % folds
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (part != 0)).distinct()
-    model = fitted(table.join(known, "doc_id").select("x", "y"))
+    known = picked(labels, doc_id="doc_id", quality="quality").select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (part != 0)).distinct()
+    model = fitted(written(table.join(known, "doc_id").select("x", "y"), "training"))
     scored = table.mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import picked, written
 
 #: Header fields of a 304 response that replace those of the stored response (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -67,10 +67,11 @@ def resolve_revisits(records: DataFrame, block_captures: int = BLOCK_CAPTURES) -
     ETag and Last-Modified are read from the headers. status: 'full' for a response, else resolved, mismatch, no_validator
     or orphan (no earlier full response). Earlier means a smaller (captured, record_id). source_id: the record with the body
     (null unless full or resolved). headers: merged if resolved, else the record's own. A null URL or time: an orphan, or
-    full. Repeated rows are resolved each. Other columns play no part.
+    full. Repeated rows are resolved each. Other columns, also of like names, play no part; an empty table gives none.
     """
     own = lower_headers(F.col("headers"))
-    slim = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("captured").cast("long").alias("captured"), "kind", own.alias("headers"))
+    given = picked(records, record_id="record_id", url="url", captured="captured", kind="kind", headers="headers")
+    slim = given.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("captured").cast("long").alias("captured"), "kind", own.alias("headers"))
     slim = written(slim.withColumns({"etag": F.col("headers")["etag"], "modified": F.col("headers")["last-modified"]}), "captures")
     dated = slim.filter("url_key IS NOT NULL AND captured IS NOT NULL AND record_id IS NOT NULL")
     spans = dated.groupBy("url_key").agg(F.count("*").alias("n"), F.min("captured").alias("low"), F.max("captured").alias("high"))

@@ -7,7 +7,8 @@ import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,13 @@ STEP_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of this machine's for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a folder of
+    this machine; any other is asked to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/loomlog-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -41,14 +44,46 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Written tables that still exist: path to session.
+_TABLES: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, goes when the driver's Python ends."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It goes at the end of the
+    passing_tables block that it was written in, else when the driver's Python ends."""
     path = f"{shared_folder(df.sparkSession)}/loomlog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
+    _TABLES[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop(paths: Iterable[str]) -> None:
+    for path in paths:
+        _delete(_TABLES.pop(path), path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    _drop(list(_TABLES))
+
+
+@contextmanager
+def passing_tables() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """with passing_tables() as keep: tables written inside are deleted at the end, but for those written by keep(df, name)."""
+    before, kept = set(_TABLES), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        known = set(_TABLES)
+        out = written(df, name)
+        kept.update(set(_TABLES) - known)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _drop([path for path in _TABLES if path not in before and path not in kept])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers a thousand rows at a time, unless the session asks for a number of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

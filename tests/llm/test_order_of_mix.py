@@ -66,3 +66,32 @@ def test_thousands_of_sources_keep_their_targets(spark):
 def test_more_than_a_hundred_thousand_sources(spark):
     made = spark.range(100_001).selectExpr("id AS doc_id", "cast(id AS string) AS source", "'x' AS text")
     assert mixing.mixed_blocks(made).select("_slot").distinct().count() == 100_001
+
+
+def test_slots_are_those_of_a_plain_scheduler(spark):
+    """Slot by slot: of the sources whose next block is released, the one of the earliest deadline; ties by name."""
+    from fractions import Fraction
+
+    import random
+
+    r = random.Random(6)
+    made = [(i, r.choice(["a", "a", "a", "b", "b", "c"]) if i < 290 else "d", "y" * r.choice([0, 10, 90, 350])) for i in range(300)] + [(300, None, None), (7, "a", "yyyy"), (7, "a", "yyyy")]
+    weights = {"a": 0.23, "b": 0.41, "c": 0.11, "d": 0.25}
+    rows = mixing.mixed_blocks(spark.createDataFrame(made, "doc_id long, source string, text string"), weights=weights, block_bytes=300).collect()
+    quota = mixing.quotas(weights | {"": 0.11}, mixing.RESOLUTION)
+    w = {s: Fraction(q, sum(quota.values())) for s, q in quota.items()}
+    assert all(abs(w[s] - Fraction(x) / Fraction(1.11)) < Fraction(1, 10**9) for s, x in weights.items())
+    sizes = {}
+    for _, s, x in made:
+        sizes[s or ""] = sizes.get(s or "", 0) + len(x or "")
+    left = {s: n // 300 + 1 for s, n in sizes.items()}
+    served, plain, t = dict.fromkeys(left, 0), {}, 0
+    while any(served[s] < left[s] for s in left):
+        ready = [s for s in left if served[s] < left[s] and served[s] / w[s] // 1 <= t]
+        if ready:
+            s = min(ready, key=lambda s: (-(-(served[s] + 1) / w[s] // 1), s))
+            plain[s, served[s]] = t
+            served[s] += 1
+        t += 1
+    assert {(x._source, x._block): x._slot for x in rows}.items() <= plain.items()
+    assert len(rows) == len(made)

@@ -1,4 +1,4 @@
-"""All queries with SQL against DuckDB, and the pipeline stage by stage."""
+"""All queries with SQL against DuckDB,."""
 
 import os
 import sys
@@ -8,7 +8,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import rows_of, rows_of_sql
 
-import corpus_pipeline
 from loomlog.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -22,17 +21,3 @@ def test_queries_match_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 200
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, kept = docs.columns, docs
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = corpus_pipeline.written(stage(spark, kept, SF), name)
-        assert kept.columns == names
-        sizes.append(kept.count())
-    assert 200 >= sizes[0] > sizes[1] == sizes[2] == sizes[3] > 100
-    assert kept.filter("text RLIKE '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\\\.[A-Za-z]'").count() == 0
-    total = corpus_pipeline.run(spark, SF)
-    assert total.select("doc_id").distinct().count() == sizes[3]

@@ -7,10 +7,13 @@ smaller id; its words are removed.
    alone: equal windows have equal anchors, and a fifth of a text's grams are anchors. Anchors are counted over all documents
    (partially aggregated); those of a single document are of no further interest.
 2. Runs. Of each distinct text (exact copies need no search: a copy's windows all occur in the first of its kind) the runs
-   of windows with a recurring anchor are cut out and dealt to shards by anchor, frequent anchors over several shards.
+   of windows with a recurring anchor are cut out and dealt to shards by anchor. Those of a frequent anchor are dealt window
+   by window, by the window's hash, so that its shards share no window.
 3. Automata. A shard confirms which whole windows recur and where first, and compiles them, a bounded number at a time, to
-   Aho-Corasick automata over overlapping ten-word letters, through which all its runs are streamed to locate every occurrence. For an anchor
-   dealt to several shards the windows are confirmed by an aggregation first and each shard gets those of its anchor.
+   Aho-Corasick automata over overlapping ten-word letters, through which all its runs are streamed to locate every occurrence.
+   Windows of a frequent anchor are confirmed by an aggregation first. Where one of its shards is large because a window stands
+   in very many documents, it is split by document and each part gets the shard's confirmed windows: no more than a shard's
+   rows, so all parts together get no more windows than there are rows.
 4. The located windows return to the documents as ranges of words, by one join on the document.
 """
 
@@ -35,6 +38,8 @@ WINDOW, GRAM = 13, 5
 SHARD_SEGMENTS, AUTOMATON_WORDS = 4096, 400_000
 #: Bytes of hash by which the automata tell a word, and entries of an anchor bucket.
 WIDTH, BUCKET_ENTRIES = 6, 500_000
+#: Recurring anchors that a task remembers to have told.
+REMEMBERED = 1_000_000
 #: Words of a letter of the automata: a window of 13 words is four overlapping letters of 10.
 LETTER = 10
 #: A letter's number is written in digits of this base.
@@ -77,8 +82,9 @@ PACKED = "bucket long, anchors binary, docs binary, known binary"
 def _bucketed(window: int, gram: int, buckets: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by bucket. An anchor of several documents of a step recurs: its documents are told at once, in buckets from
-        `buckets` on that only pass them on, and one of them alone goes to the anchor's bucket, so that a frequent anchor sends
-        one entry for each step."""
+        `buckets` on that only pass them on, and one of them alone goes to the anchor's bucket. The task remembers such anchors,
+        so that a frequent one sends a single entry for all the steps of a task (as long as there are not too many of them)."""
+        sent = np.zeros(0, dtype=np.uint64)
         for batch in steps(batches):
             words, offsets = words_of(batch.column("text"))
             _, anchor, owner = anchors(word_hashes(words), offsets, window, gram)
@@ -91,15 +97,20 @@ def _bucketed(window: int, gram: int, buckets: int):
             anchor, docs = anchor[new], docs[new]
             head = np.concatenate(([True], anchor[1:] != anchor[:-1]))
             size = np.diff(np.concatenate((np.flatnonzero(head), [len(anchor)])))
-            several = np.repeat(size > 1, size)
+            firsts = anchor[head]
+            told = sent[np.minimum(np.searchsorted(sent, firsts), len(sent) - 1)] == firsts if len(sent) else np.zeros(len(firsts), dtype=bool)
+            several = np.repeat((size > 1) | told, size)
+            if len(sent) < REMEMBERED:
+                sent = np.union1d(sent, firsts[size > 1])
+            head[head] = ~told
             bucket = (anchor % np.uint64(buckets)).astype(np.int64)
             passed = buckets + int(docs[0]) % buckets
             anchor, docs, known = np.concatenate((anchor[head], anchor[several])), np.concatenate((docs[head], docs[several])), np.concatenate((several[head], np.ones(int(several.sum()), bool)))
             bucket = np.concatenate((bucket[head], np.full(int(several.sum()), passed)))
             order = np.argsort(bucket, kind="stable")
             bucket, anchor, docs, known = bucket[order], anchor[order], docs[order], known[order]
-            begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            ends = np.concatenate((begins[1:], [len(bucket)]))
+            begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)]
+            ends = np.concatenate((begins[1:], [len(bucket)]))[: len(begins)]
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), cut(anchor), cut(docs), cut(known)], ["bucket", "anchors", "docs", "known"])
 
@@ -127,8 +138,8 @@ def _recurring_anchors(buckets: int):
     return hits
 
 
-#: words: WIDTH bytes of hash for each of a run's words. A window is told by 13 of them.
-SEGMENT = "anchor long, shards long, doc_id long, start long, words binary"
+#: words: WIDTH bytes of hash for each of a run's words. A window is told by 13 of them. part is 0 where the anchor has one shard.
+SEGMENT = "anchor long, shards long, part long, doc_id long, start long, words binary"
 
 
 def _binary(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -141,7 +152,8 @@ def _binary(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> pa.Arr
 
 def _segments(window: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of windows whose anchor recurs; recurring holds the document's anchors with their numbers of shards."""
+        """The runs of windows whose anchor recurs, single windows where it has several shards; recurring holds the document's
+        anchors with their numbers of shards."""
         for batch in steps(batches):
             words, offsets = words_of(batch.column("text"))
             hashes = word_hashes(words)
@@ -161,10 +173,15 @@ def _segments(window: int, gram: int):
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             hit = known[at] == mine
             first, last, shards = first[hit], last[hit], shards[at[hit]]
+            sizes = np.where(shards > 1, last - first + 1, 1)  # a frequent anchor's windows go one by one
+            alone = np.repeat(shards > 1, sizes)
+            first = np.repeat(first, sizes) + np.where(alone, np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0)
+            last, shards = np.where(alone, first, np.repeat(last, sizes)), np.repeat(shards, sizes)
             begin = starts[first]
+            part = np.where(alone, (gram_hashes(hashes, window)[begin] % shards.astype(np.uint64)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(anchor[first])), pa.array(shards), batch.column("doc_id").take(pa.array(owner[first])), pa.array(begin - offsets[owner[first]]), _binary(hashes, begin, starts[last] - begin + window)],
-                ["anchor", "shards", "doc_id", "start", "words"],
+                [pa.array(signed(anchor[first])), pa.array(shards), pa.array(part), batch.column("doc_id").take(pa.array(owner[first])), pa.array(begin - offsets[owner[first]]), _binary(hashes, begin, starts[last] - begin + window)],
+                ["anchor", "shards", "part", "doc_id", "start", "words"],
             )
 
     return cut
@@ -187,23 +204,23 @@ class _Rows:
         self.hashes = gram_hashes(self.flat, window)[inside]
 
 
-def _recurring(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window that two documents or more hold: where it first stands, its first and its last document."""
+def _recurring(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: where it first stands, its first and its last document, and how often it occurs."""
     order = np.lexsort((docs, hashes))
     heads = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else order
     tails = np.concatenate((heads[1:], [len(order)]))[: len(heads)] - 1
-    return order[heads], docs[order[heads]], docs[order[tails]]
+    return order[heads], docs[order[heads]], docs[order[tails]], tails - heads + 1
 
 
 def _first_windows(window: int):
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, shards, window, first and last document), a window once for each batch."""
+        """(anchor, part, window, first and last document, occurrences), a window once for each batch."""
         for batch in batches:
             if batch.num_rows:
-                rows = _Rows(batch.column("words"), window)
-                at, first, last = _recurring(rows.hashes, longs(batch.column("doc_id"))[rows.row])
+                rows = _Rows(batch.column("words"), window)  # one window each
+                at, first, last, n = _recurring(rows.hashes, longs(batch.column("doc_id"))[rows.row])
                 own = pa.array(rows.row[at])
-                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(own), batch.column("shards").take(own), _binary(rows.flat, rows.places[at], np.full(len(at), window)), pa.array(first), pa.array(last)], ["anchor", "shards", "words", "first", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(own), batch.column("part").take(own), batch.column("words").take(own), pa.array(first), pa.array(last), pa.array(n)], ["anchor", "part", "words", "first", "last", "n"])
 
     return firsts
 
@@ -228,7 +245,7 @@ def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
     docs, start, shards = (longs(table.column(c)) for c in ("doc_id", "start", "shards"))
     given = table.column("start").is_null().to_numpy()
     alone = ~given[rows.row] & (shards[rows.row] == 1)  # windows of shards that are confirmed here
-    at, first, last = _recurring(rows.hashes[alone], docs[rows.row[alone]])
+    at, first, last, _ = _recurring(rows.hashes[alone], docs[rows.row[alone]])
     places, payload = rows.places[alone][at][first != last], first[first != last]
     confirmed = np.flatnonzero(given)
     places, payload = np.concatenate((places, rows.offsets[confirmed])), np.concatenate((payload, docs[confirmed]))
@@ -270,7 +287,7 @@ def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
 
 def _located(window: int, bound: int):
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranges of words to remove. Rows come by shard (anchor, part); whole shards are gathered until their words fill an automaton."""
+        """Ranges of words to remove. Rows come by shard (anchor, part, sub); whole shards are gathered until their words fill an automaton."""
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -279,8 +296,8 @@ def _located(window: int, bound: int):
             size += batch.column("words").nbytes // WIDTH
             if size >= bound:
                 table = pa.Table.from_batches(held)
-                anchor, part = longs(table.column("anchor")), longs(table.column("part"))
-                changes = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+                shard = np.column_stack([longs(table.column(c)) for c in ("anchor", "part", "sub")])
+                changes = np.flatnonzero((shard[1:] != shard[:-1]).any(axis=1)) + 1
                 at = 0
                 while len(changes) and at < changes[-1]:  # so many whole shards at a time, the last one stays
                     lengths = pc.binary_length(table.column("words")).to_numpy()
@@ -333,14 +350,19 @@ def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window:
     hits = found.join(counted.select("anchor", F.ceil(F.col("n") / SHARD_SEGMENTS).alias("shards")), "anchor")
     wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
     frequent_only = wanted.select("doc_id", F.filter("recurring", lambda x: x["shards"] > 1).alias("recurring")).filter(F.size("recurring") > 0)
-    # the shuffled documents serve all three joins with them in one plan
+    # one plan, in which the shuffled documents serve both joins here and the last one of without_repeats
     cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT)
-    dealt = cut(wanted).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")))
-    frequent = cut(frequent_only).mapInArrow(_first_windows(window), "anchor long, shards long, words binary, first long, last long")
-    confirmed = frequent.groupBy("anchor", "shards", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z")).filter("doc_id <> z")
-    given = confirmed.select("anchor", "shards", "doc_id", F.lit(None).cast("long").alias("start"), "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part"))
-    rows = dealt.unionByName(given).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return rows.select("anchor", "part", "shards", "doc_id", "start", "words").mapInArrow(_located(window, AUTOMATON_WORDS), RANGES)
+    frequent = cut(frequent_only).select("anchor", "part", "doc_id", "words").mapInArrow(_first_windows(window), "anchor long, part long, words binary, first long, last long, n long")
+    confirmed = frequent.groupBy("anchor", "part", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z"), F.sum("n").alias("n")).filter("doc_id <> z")
+    # a shard of more rows than two shards' has a window in very many documents; such shards are few
+    crowded = confirmed.groupBy("anchor", "part").agg(F.ceil(F.sum("n") / SHARD_SEGMENTS).alias("subs")).filter("subs > 2")
+    subs = F.coalesce(F.col("subs"), F.lit(1).cast("long"))
+    dealt = cut(wanted).join(crowded, ["anchor", "part"], "left").withColumn("sub", F.pmod(F.xxhash64("doc_id", "start"), subs))
+    given = confirmed.join(crowded, ["anchor", "part"], "left").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), subs - 1)))
+    shards = ["anchor", "part", "sub"]
+    columns = [*shards, "shards", "doc_id", "start", "words"]
+    rows = dealt.select(*columns).unionByName(given.select(*shards, F.lit(2).cast("long").alias("shards"), "doc_id", F.lit(None).cast("long").alias("start"), "words"))
+    return rows.repartition(*shards).sortWithinPartitions(*shards).mapInArrow(_located(window, AUTOMATON_WORDS), RANGES)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -24,33 +24,43 @@ def code_tokens(text: Column) -> Column:
     return plain_tokens(parted)
 
 
-def postings(docs: DataFrame, id: str, text: str, tokens=plain_tokens) -> DataFrame:
-    """(id, term, tf, n): term counts with the document's length, from one shuffle by (id, term)."""
-    split = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
-    return split.select("id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+#: Asked-for terms up to which tokens are compared with a list of them; more are joined.
+MOST_TERMS = 10_000
 
 
-def statistics(docs: DataFrame, id: str, text: str, tokens=plain_tokens) -> DataFrame:
-    """One row: documents with a term, and their mean length."""
-    return docs.select(F.size(tokens(F.col(text))).alias("n")).filter("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean"))
+def postings(docs: DataFrame, id: str, text: str, tokens=plain_tokens, asked: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, n): counts of the asked terms (None: of all) with the document's length, and a row of each document with
+    a null term.
+
+    Other terms go before the texts are taken apart, and counts are combined before the shuffle by (id, term).
+    """
+    split = docs.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    kept = F.col("t") if asked is None else F.filter("t", lambda x: x.isin(*asked)) if asked else F.array().cast("array<string>")
+    rows = split.select("id", F.size("t").alias("n"), F.explode(F.concat(kept, F.array(F.lit(None).cast("string")))).alias("term"))
+    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
 def bm25(docs: DataFrame, id: str, text: str, queries: DataFrame, tokens=plain_tokens, mode: str = "any") -> DataFrame:
     """(query_id, id, score) of every document that a query matches. queries: query_id, query.
 
-    mode any: a document with one of the terms; all: with every one. Only postings of asked-for terms meet the queries.
+    mode any: a document with one of the terms; all: with every one. Document frequencies, the number of documents and their
+    mean length come from the postings that are scored, so texts are read and taken apart once.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    asked = terms.select("term").distinct()
-    hits = postings(docs, id, text, tokens).join(asked, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = statistics(docs, id, text, tokens).first()
-    n_docs, mean = float(stats["n_docs"] or 0), float(stats["mean"] or 1.0)
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
-    scored = hits.join(df, "term").withColumn("part", part).join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    found = postings(docs, id, text, tokens, asked if len(asked) <= MOST_TERMS else None)
+    if len(asked) > MOST_TERMS:
+        found = found.join(terms.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left").filter("term IS NULL OR _t IS NOT NULL").drop("_t")
+    # every aggregate reads tf, so that this branch and the scores' have equal plans below and Spark shuffles the postings once
+    by_term = found.groupBy("term").agg(F.count("tf").alias("df"), F.count_if((F.col("n") > 0) & (F.col("tf") > 0)).alias("full"), F.sum("n").alias("length"))
+    whole = by_term.filter("term IS NULL").select(F.col("full").cast("double").alias("n_docs"), (F.col("length") / F.nullif("full", F.lit(0))).alias("mean"))
+    known = by_term.filter("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(whole))  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    hits = found.filter("term IS NOT NULL").join(known, "term").join(terms, "term")
+    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if mode == "all":
+        wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
         scored = scored.join(wanted, "query_id").filter("matched = wanted")
     return scored.select("query_id", F.col("id").alias(id), "score")
 
@@ -72,6 +82,25 @@ def fused(a: DataFrame, b: DataFrame, on: list[str], weight_b: float = 0.7, k: i
     return a.select(*on, "rank_a").join(b.select(*on, "rank_b"), on, "full").withColumn("score", score)
 
 
+def fused_lists(lists: list[tuple[DataFrame, float]], on: list[str], k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of any number of ranked lists (on, rank), each with its weight: one union and one aggregation."""
+    parts = [df.select(*on, F.lit(i).alias("list"), "rank", (F.lit(float(w)) / (k + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(lists)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    ranks = [F.min(F.when(F.col("list") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(len(lists))]
+    return every.groupBy(*on).agg(F.sum("part").alias("score"), *ranks)
+
+
+def over_fields(docs: DataFrame, id: str, fields: list[str], queries: DataFrame, tokens=plain_tokens, mode: str = "any") -> DataFrame:
+    """BM25 of each field as an index of its own: (query_id, id, score: the best field's, total: all fields', field: the best)."""
+    parts = [bm25(docs, id, f, queries, tokens, mode).withColumn("field", F.lit(f)).withColumn("place", F.lit(-i)) for i, f in enumerate(fields)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("query_id", id).agg(F.max("score").alias("best"), F.sum("score").alias("total"), F.max_by("field", F.struct("score", "place")).alias("field"))
+
+
 def query_weight(query: str) -> float:
     """Weight of the vector list: low for queries that look like an identifier or are a single short word."""
     words = query.split()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.merge import known_sum
 
+from . import sessions
+
 
 def windows(launches: DataFrame) -> DataFrame:
     """launches (loop_id, session_uid, launched_at) with the cutoff that the session's next launch sets, and whether two began at once."""
@@ -55,3 +57,95 @@ def orchestration_kind(tree: DataFrame) -> DataFrame:
     flags = tree.groupBy("root").agg(*[F.bool_or(c).alias(c) for c in ("launched", "workflow", "spawned", "lane")], F.count("*").alias("sessions"))
     kind = F.when(F.col("launched"), "loop").when(F.col("workflow"), "workflow").when(F.col("lane"), "lanes").when(F.col("spawned"), "subagents").when(F.col("sessions") > 1, "tree").otherwise("solo")
     return flags.withColumn("kind", kind)
+
+
+def summary(loops: DataFrame, members: DataFrame, calls: DataFrame, tool_calls: DataFrame, messages: DataFrame, prices: DataFrame) -> DataFrame:
+    """Totals of each loop: its root's activity within its window and its member sessions (loop_id, session_uid) whole.
+
+    sessions counts the root too. usd is known prices' sum: unpriced calls add nothing, as a whole loop is rarely unpriced.
+    """
+    inside = lambda at: (F.col(at) >= F.col("launched_at")) & (F.col("cutoff").isNull() | (F.col(at) < F.col("cutoff")))
+    windows = loops.select("loop_id", "session_uid", "launched_at", "cutoff")
+
+    def parts(facts: DataFrame) -> DataFrame:
+        own = windows.join(facts, "session_uid").filter(inside("ts")).drop("launched_at", "cutoff")
+        return own.unionByName(members.select("loop_id", "session_uid").join(facts, "session_uid"))
+
+    called = parts(calls)
+    priced = sessions.priced(called.withColumn("agent", F.col("loop_id").cast("string")), prices).groupBy(F.col("agent").alias("_id")).agg(F.sum("usd").alias("usd"))
+    made = called.groupBy("loop_id").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    used = parts(tool_calls).groupBy("loop_id").agg(F.count("*").alias("tool_calls"), F.count_if("is_error").alias("tool_errors"))
+    said = parts(messages).filter("message_class = 'human_prompt'").groupBy("loop_id").agg(F.count("*").alias("prompts"))
+    sizes = members.groupBy("loop_id").agg(F.countDistinct("session_uid").alias("_members"))
+    out = windows.withColumn("wall_seconds", F.floor((F.unix_micros("cutoff") - F.unix_micros("launched_at")) / 1_000_000))
+    for part in (made, used, said, sizes):
+        out = out.join(part, "loop_id", "left")
+    out = out.join(priced, F.col("loop_id").cast("string") == F.col("_id"), "left").drop("_id")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("calls", "input_tokens", "output_tokens", "tool_calls", "tool_errors", "prompts", "usd")}
+    return out.withColumns(zero | {"sessions": 1 + F.coalesce("_members", F.lit(0))}).drop("_members")
+
+
+def lanes(members: DataFrame, rolled: DataFrame, cost: DataFrame, spawns: DataFrame) -> DataFrame:
+    """A loop's member sessions with their totals, price and how their spawn ended (spawns: session_uid, completion)."""
+    return members.join(rolled, "session_uid").join(cost.select("session_uid", "usd"), "session_uid", "left").join(spawns, "session_uid", "left")
+
+
+def membership(loops: DataFrame, tree: DataFrame, started: DataFrame) -> DataFrame:
+    """(loop_id, session_uid, method): launch for the root, lineage for sessions of its tree that begin in its window, heuristic for
+    sessions that began inside a command of one of them (started: session_uid, by_session). A session is of one loop: the earliest
+    method, then the latest launch."""
+    inside = (F.col("first_ts") >= F.col("launched_at")) & (F.col("cutoff").isNull() | (F.col("first_ts") < F.col("cutoff")))
+    root = loops.select("loop_id", "session_uid", "launched_at", F.lit(0).alias("rank"))
+    line = loops.withColumnRenamed("session_uid", "root").join(tree, "root").filter(inside & (F.col("session_uid") != F.col("root"))).select("loop_id", "session_uid", "launched_at", F.lit(1).alias("rank"))
+    first = _first_loop(root.unionByName(line))
+    guess = first.select("loop_id", F.col("session_uid").alias("by_session"), "launched_at").join(started, "by_session").select("loop_id", "session_uid", "launched_at", F.lit(2).alias("rank"))
+    best = _first_loop(first.unionByName(guess))
+    return best.select("loop_id", "session_uid", F.element_at(F.array(F.lit("launch"), F.lit("lineage"), F.lit("heuristic")), F.col("rank") + 1).alias("method"))
+
+
+def _first_loop(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("session_uid").agg(F.min_by(F.struct("loop_id", "launched_at", "rank"), F.struct("rank", -F.unix_micros("launched_at"), "loop_id")).alias("b"))
+    return best.select("b.loop_id", "session_uid", "b.launched_at", "b.rank")
+
+
+#: Fixed value: the header line of a lane's brief.
+LANE_HEADER = r"^Lane: [!-~]+ · Task: ([A-Za-z][A-Za-z0-9]*-[0-9]+(?:\.[0-9]+)*) \((.+)\) · Tier: (?:routine|guarded)$"
+
+
+def lane_brief_task(brief: Column) -> Column:
+    """struct(task_id, title) of a brief whose first line is exactly a lane's header and whose title has at most 500 characters,
+    else null: a task is never guessed from other text."""
+    line = F.rtrim(F.substring_index(brief, "\n", 1), F.lit("\r"))
+    part = lambda i: F.regexp_extract(line, LANE_HEADER, i)
+    return F.when(line.rlike(LANE_HEADER) & (F.length(part(2)) <= 500), F.struct(part(1).alias("task_id"), part(2).alias("title")))
+
+
+def tasks_done(loops: DataFrame, done: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(loop_id, tasks_done): distinct tasks of the loop's repository (repo) done in its window; null if that was never scanned.
+
+    loops: loop_id, repo, launched_at, cutoff; done: repo, task_key, done_at; scanned: repo.
+    """
+    inside = (F.col("done_at") >= F.col("launched_at")) & (F.col("cutoff").isNull() | (F.col("done_at") < F.col("cutoff")))
+    counted = loops.join(done, "repo").filter(inside).groupBy("loop_id").agg(F.countDistinct("task_key").alias("_n"))
+    known = scanned.select("repo", F.lit(True).alias("_scanned")).distinct()
+    met = loops.join(known, "repo", "left").join(counted, "loop_id", "left")
+    return met.select("loop_id", F.when(F.col("_scanned"), F.coalesce("_n", F.lit(0))).alias("tasks_done"))
+
+
+def stalls(roots: DataFrame, children: DataFrame, now, live_minutes: int = 25, flight_minutes: int = 60) -> DataFrame:
+    """(root, stalled, seconds): live roots of loops without a child in flight, and since when.
+
+    roots: root, in_task, last_ts, spawn_ts, human_ts, paused, quiet_until; children: root, in_task, last_ts. A child that has been
+    silent in its task counts as in flight for an hour; the clock starts at the last child's end, spawn or the owner's word.
+    """
+    at = F.unix_micros(F.lit(now).cast("timestamp"))
+    minute = 60_000_000
+    micros = lambda c: F.unix_micros(F.col(c))
+    flying = F.col("in_task") & (at - micros("last_ts") <= flight_minutes * minute)
+    until = micros("last_ts") + F.when(F.col("in_task"), F.lit(flight_minutes * minute)).otherwise(F.lit(0))
+    lanes_ = children.filter("last_ts IS NOT NULL").groupBy("root").agg(F.bool_or(flying).alias("_flying"), F.max(until).alias("_until"))
+    quiet = F.coalesce("paused", F.lit(False)) | F.coalesce(micros("quiet_until") > at, F.lit(False))
+    live = roots.filter(F.col("in_task") & (at - micros("last_ts") <= live_minutes * minute) & ~quiet).join(lanes_, "root", "left").filter(~F.coalesce("_flying", F.lit(False)))
+    lane_end = F.greatest(micros("spawn_ts"), F.col("_until"))
+    since = F.when(lane_end.isNotNull(), F.greatest(lane_end, micros("human_ts")))
+    return live.select("root", F.greatest(F.floor((at - since) / 1_000_000), F.lit(0)).alias("seconds"))

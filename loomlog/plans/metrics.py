@@ -85,3 +85,32 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     keyed = lambda df, v: df.select("name", F.array_sort(F.map_entries("labels")).alias("labels"), F.col("value").alias(v))
     both = keyed(a, "left_value").join(keyed(b, "right_value"), ["name", "labels"], "full")
     return both.filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+def allowed(samples: DataFrame, names: Sequence[str], values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Samples of the given names whose labels are all of the vocabulary: a known label with one of its values."""
+    pairs = F.map_entries("labels")
+    fine = F.forall(pairs, lambda e: F.coalesce(*[F.when(e["key"] == k, e["value"].isin(*v)) for k, v in sorted(values.items())], F.lit(False))) if values else F.size(pairs) == 0
+    return samples.filter(F.col("name").isin(*names) & fine)
+
+
+def increase(samples: DataFrame, at: str, seconds: int, until) -> DataFrame:
+    """(name, key, increase) of each counter over the last so many seconds before a time, restarts counted from zero."""
+    end = F.unix_micros(F.lit(until).cast("timestamp"))
+    inside = samples.filter((F.unix_micros(at) > end - seconds * 1_000_000) & (F.unix_micros(at) <= end))
+    run = temporal.reset_adjusted(inside.withColumn("key", F.to_json(F.array_sort(F.map_entries("labels")))), ["name", "key"], "value", F.col(at))
+    return run.groupBy("name", "key").agg((F.max_by("adjusted", at) - F.min_by("adjusted", at)).alias("increase"))
+
+
+def last_over(samples: DataFrame, at: str, seconds: int, until) -> DataFrame:
+    """(name, key, last, least): each series' last and least value over the last so many seconds; one without a sample is absent."""
+    end = F.unix_micros(F.lit(until).cast("timestamp"))
+    keyed = samples.withColumn("key", F.to_json(F.array_sort(F.map_entries("labels"))))
+    inside = (F.unix_micros(at) > end - seconds * 1_000_000) & (F.unix_micros(at) <= end)
+    value = F.when(inside, F.col("value"))
+    return keyed.groupBy("name", "key").agg(F.max_by("value", F.when(inside, F.col(at))).alias("last"), F.min(value).alias("least"), (F.count_if(inside) == 0).alias("absent"))
+
+
+def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """The ceil(q n)-th smallest value of each group for each share q, as q50, q90, ..."""
+    return rows.groupBy(*by).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"q{round(q * 100)}") for q in shares])

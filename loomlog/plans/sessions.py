@@ -26,6 +26,20 @@ def scoped(df: DataFrame, at: str = "ts", since=None, until=None, agents: Sequen
     return df.filter(F.col("agent").isin(*agents)) if agents is not None else df
 
 
+def with_price(usage: DataFrame, prices: DataFrame, model: str = "model", day: str = "day") -> DataFrame:
+    """usage (TOKENS and, if there is one, cache_write_1h_tokens) with usd at the price of its model and day, null if it has none.
+
+    An absent price of cached input is that of input; of a cache write of an hour that of the usual one, then that of input.
+    """
+    found = temporal.valid_at(usage, prices, model, day, "effective_from")
+    t = lambda c: F.coalesce(F.col(c), F.lit(0))
+    write = F.coalesce("cache_write", "input")
+    usd = t("input_tokens") * F.col("input") + t("cached_tokens") * F.coalesce("cached", "input") + t("cache_write_tokens") * write + t("output_tokens") * F.col("output")
+    if "cache_write_1h_tokens" in usage.columns:
+        usd = usd + t("cache_write_1h_tokens") * (F.coalesce("cache_write_1h", write) if "cache_write_1h" in prices.columns else write)
+    return found.withColumn("usd", usd / 1e6).drop("input", "cached", "cache_write", "cache_write_1h", "output")
+
+
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls grouped by (agent, session, model, UTC day) with tokens and usd; unpriced models have null.
 
@@ -33,10 +47,7 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     price is the input price.
     """
     daily = calls.groupBy("agent", "session_uid", "model", F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"), *[F.sum(c).alias(c) for c in TOKENS])
-    found = temporal.valid_at(daily, prices, "model", "day", "effective_from")
-    t = lambda c: F.coalesce(F.col(c), F.lit(0))
-    usd = (t("input_tokens") * F.col("input") + t("cached_tokens") * F.coalesce("cached", "input") + t("cache_write_tokens") * F.coalesce("cache_write", "input") + t("output_tokens") * F.col("output")) / 1e6
-    return found.withColumn("usd", usd).drop("input", "cached", "cache_write", "output")
+    return with_price(daily, prices)
 
 
 def session_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:

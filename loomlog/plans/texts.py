@@ -195,11 +195,21 @@ def similar_messages(t):
     SELECT a.label, b.label AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM m a JOIN m b ON a.label < b.label""",
 )
 def similar_sessions(t):
-    """Similarity of the mean vectors of each two labels; there are few labels, and the pairs come from one array of them."""
+    """Similarity of the mean vectors of each two labels."""
+    pairs = vectors.similar_pairs(vectors.mean_vector(t("embeddings"), "label", "embedding"), "label", "embedding")
+    return pairs.select("label", "other", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "similar_to_session",
+    """WITH m AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(e) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS e, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)
+    SELECT label, round(1 - list_cosine_similarity(v, (SELECT v FROM m WHERE label = 3)), 6) AS distance FROM m WHERE label <> 3 ORDER BY 2, 1 LIMIT 5""",
+)
+def similar_to_session(t):
+    """The five labels whose mean vectors are nearest to one label's (a report)."""
     means = vectors.mean_vector(t("embeddings"), "label", "embedding")
-    every = means.agg(F.array_sort(F.collect_list(F.struct("label", "embedding"))).alias("all"))
-    pairs = every.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a.label < b.label")
-    return pairs.select(F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))
+    asked = vectors.mean_vector(t("embeddings").filter("label = 3"), "label", "embedding").first()["embedding"]
+    return vectors.nearest(means.filter("label <> 3"), "label", "embedding", asked, 5, digits=6)
 
 
 @query(
@@ -213,7 +223,7 @@ def hybrid_rrf(t):
     docs, e = t("documents"), t("embeddings")
     queries = docs.sparkSession.createDataFrame(QUERIES[1:2], "query_id int, query string")
     words = search.bm25(docs, "doc_id", "text", queries).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
-    near = vectors.nearest(e, "vec_id", "embedding", e.filter("vec_id = 7").first()["embedding"], e.count()).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("d")).orderBy("d", "id").limit(50)
+    near = vectors.nearest(e, "vec_id", "embedding", e.filter("vec_id = 7").first()["embedding"], 50, digits=6).select(F.col("vec_id").alias("id"), F.col("distance").alias("d"))
     # fifty rows each: the rank needs no more than one task
     ranked = lambda df, name, *order: df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
     return search.fused(ranked(words, "rank_a", F.desc("s"), F.col("id")), ranked(near, "rank_b", F.col("d"), F.col("id")), ["id"]).select("id", "rank_a", "rank_b", F.round("score", 8).alias("score"))

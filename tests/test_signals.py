@@ -1,28 +1,11 @@
-"""Stems and the logs' further records."""
+"""The logs' further records."""
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
-from loomlog.functions import stem
-from loomlog.operators import search
 from loomlog.sources import signals
 
-# Pairs from the paper's own examples.
-PAIRS = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit radically radic triplicate triplic formalize formal electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust irritant irrit replacement replac adoption adopt homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
-
-
-@pytest.mark.parametrize("word,root", list(zip(PAIRS[::2], PAIRS[1::2], strict=True)))
-def test_stems(word, root):
-    assert stem.stem(word) == root
-
-
-def test_stemmed_search(spark):
-    docs = spark.createDataFrame([(1, "the failing migrations"), (2, "a success"), (3, None)], "id int, t string")
-    q = spark.createDataFrame([(1, "failed migration")], "query_id int, query string")
-    assert [r.id for r in search.bm25(docs, "id", "t", q, stem.stemmed_tokens, "all").collect()] == [1]
-
 
 def test_records(spark):
     rows = [

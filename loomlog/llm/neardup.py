@@ -12,6 +12,7 @@
    hub doesn't have. There, each member outside the largest component is checked on whole sets against all the family, in
    blocks of bounded size: mostly its own shingles already show that it has no link (fewer than 80 % of them occur in the
    block); otherwise intersections are counted from the block's postings. A block returns at most one link for each component.
+   Texts are read once for their sets; a family's sets go to as many blocks as its members outside the largest component fill.
    So no partner is left out for the size of a bucket, and no list of pairs is ever made.
 """
 
@@ -202,20 +203,29 @@ class _Postings:
         return np.bincount(self.owner[flat], minlength=self.n)
 
 
-def _block_pair(k: int, percent: int):
+SETS = "rep long, shingles binary"
+
+
+def _set_maker(k: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The whole shingle sets of the texts that have the asked fingerprint (others are another text under the same id)."""
+        for batch in steps(batches):
+            hashes, offsets = shingle_sets(batch.column("text"), k)
+            right = signed(fingerprints(hashes, offsets)[0]) == batch.column("f1").to_numpy()
+            packed = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1][right], offsets[1:][right], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(right)), pa.array(packed, pa.binary())], ["rep", "shingles"])
+
+    return sets
+
+
+def _block_pair(percent: int):
     def linked(table: pa.Table) -> pa.Table:
         """Links between members outside the main component (side 0) and members of the family (side 1), one for each two components."""
         sides = []
         for side in (0, 1):
-            part = table.filter(pc.equal(table.column("side"), side)).combine_chunks()
-            sets, reps, comps = [], [], []
-            for at in range(part.num_rows):
-                own, offsets = shingle_sets(part.column("text").slice(at, 1).combine_chunks(), k)
-                if int(signed(fingerprints(own, offsets)[0])[0]) == part.column("f1")[at].as_py():  # else another text under the same id
-                    sets.append(own)
-                    reps.append(part.column("rep")[at].as_py())
-                    comps.append(part.column("comp")[at].as_py())
-            sides.append((sets, reps, comps))
+            part = table.filter(pc.equal(table.column("side"), side))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("shingles").to_pylist()]
+            sides.append((sets, part.column("rep").to_pylist(), part.column("comp").to_pylist()))
         (left, left_reps, left_comps), (right, right_reps, right_comps) = sides
         postings, place = _Postings(right), {r: i for i, r in enumerate(right_reps)}
         sizes, comps = np.array([len(x) for x in right]), np.array(right_comps)
@@ -249,17 +259,19 @@ def hidden_links(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: D
     sized = members.join(classes.select("rep", "n_shingles", "f1"), "rep").join(comps, F.col("rep") == F.col("node"), "left")
     labelled = written(sized.select("hub", "rep", "f1", "n_shingles", F.coalesce("component", "rep").alias("comp")), "families")
     shares = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    families = shares.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).filter("c > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    families = written(families.select("hub", F.col("top.comp").alias("main"), blocks.alias("blocks")), "open")  # so that the join may split a large family
-    open_rows = labelled.join(families, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    names = ["rep", "f1", "comp"]
-    left = open_rows.filter("comp <> main").select("hub", F.col("own").alias("i"), every, F.lit(0).alias("side"), *names).withColumnRenamed("other", "j")
-    right = open_rows.select("hub", F.col("own").alias("j"), every, F.lit(1).alias("side"), *names).withColumnRenamed("other", "i")
-    sides = left.unionByName(right)
-    texts = docs.join(sides, docs["doc_id"] == sides["rep"]).select("hub", "i", "j", "side", *names, "text")
-    return written(texts.groupBy("hub", "i", "j").applyInArrow(_block_pair(k, percent), "a long, b long"), "hidden")
+    families = shares.groupBy("hub").agg(F.max(F.struct("n", "comp", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).filter("c > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    outside = blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+    families = families.select("hub", F.col("top.comp").alias("main"), outside.alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights"))
+    open_rows = written(labelled.join(written(families, "open"), "hub"), "members")  # a written table, so that the join may split a large family
+    asked = open_rows.select("rep", "f1").distinct()
+    sets = written(docs.join(asked, docs["doc_id"] == asked["rep"]).select("rep", "f1", "text").mapInArrow(_set_maker(k), SETS).dropDuplicates(["rep"]), "sets")
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = open_rows.filter("comp <> main").select("hub", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "rep", "comp")
+    right = open_rows.select("hub", every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), "rep", "comp")
+    sides = left.unionByName(right).join(sets, "rep").select("hub", "i", "j", "side", "rep", "comp", "shingles")
+    return written(sides.groupBy("hub", "i", "j").applyInArrow(_block_pair(percent), "a long, b long"), "hidden")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:

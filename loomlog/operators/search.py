@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.session import spread
+
 K1, B = 1.2, 0.75
 #: Constant of reciprocal rank fusion.
 RRF_K = 60
@@ -29,15 +31,19 @@ MOST_TERMS = 10_000
 
 
 def postings(docs: DataFrame, id: str, text: str, tokens=plain_tokens, asked: list[str] | None = None) -> DataFrame:
-    """(id, term, tf, n): counts of the asked terms (None: of all) with the document's length, and a row of each document with
-    a null term.
+    """(id, term, tf, n): counts of the asked terms (None: of all) with the document's length, and a row of each document with an
+    empty term.
 
     Other terms go before the texts are taken apart, and counts are combined before the shuffle by (id, term).
     """
-    split = docs.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    split = spread(docs.select(F.col(id).alias("id"), F.col(text).alias("x"))).select("id", tokens(F.coalesce("x", F.lit(""))).alias("t"))
     kept = F.col("t") if asked is None else F.filter("t", lambda x: x.isin(*asked)) if asked else F.array().cast("array<string>")
-    rows = split.select("id", F.size("t").alias("n"), F.explode(F.concat(kept, F.array(F.lit(None).cast("string")))).alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    # the whole array of tokens doesn't go through the explode
+    slim = split.select("id", F.size("t").alias("n"), F.concat(kept, F.array(F.lit(""))).alias("kept"))
+    rows = slim.select("id", "n", F.explode("kept").alias("word"))
+    counted = rows.groupBy("id", "word").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    # a term that depends on n, so that filters on it stay above the aggregation and don't part plans that are shared
+    return counted.select("id", F.when(F.col("n") >= 0, F.col("word")).alias("term"), "tf", "n")
 
 
 def bm25(docs: DataFrame, id: str, text: str, queries: DataFrame, tokens=plain_tokens, mode: str = "any") -> DataFrame:
@@ -47,17 +53,19 @@ def bm25(docs: DataFrame, id: str, text: str, queries: DataFrame, tokens=plain_t
     mean length come from the postings that are scored, so texts are read and taken apart once.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    found = postings(docs, id, text, tokens, asked if len(asked) <= MOST_TERMS else None)
-    if len(asked) > MOST_TERMS:
-        found = found.join(terms.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left").filter("term IS NULL OR _t IS NOT NULL").drop("_t")
-    # every aggregate reads tf, so that this branch and the scores' have equal plans below and Spark shuffles the postings once
-    by_term = found.groupBy("term").agg(F.count("tf").alias("df"), F.count_if((F.col("n") > 0) & (F.col("tf") > 0)).alias("full"), F.sum("n").alias("length"))
-    whole = by_term.filter("term IS NULL").select(F.col("full").cast("double").alias("n_docs"), (F.col("length") / F.nullif("full", F.lit(0))).alias("mean"))
-    known = by_term.filter("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(whole))  # one row
+    asked = sorted({r["term"] for r in terms.select("term").limit(MOST_TERMS + 1).collect()})
+    many = len(asked) > MOST_TERMS
+    found = postings(docs, id, text, tokens, None if many else asked)
+    if many:
+        found = found.join(terms.select(F.col("term").alias("_t")).distinct(), F.col("term") == F.col("_t"), "left").filter("term = '' OR _t IS NOT NULL").drop("_t")
+    # both branches read every aggregate, so their plans below are equal and Spark shuffles the postings once
+    full = (F.col("n") > 0) & (F.col("tf") > 0)
+    by_term = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count_if(full).alias("full"), F.sum("n").alias("length"))
+    whole = by_term.filter("term = ''").select(F.col("full").cast("double").alias("n_docs"), (F.col("length") / F.nullif("full", F.lit(0))).alias("mean"))
+    known = by_term.filter("term <> ''").select("term", "df").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    hits = found.filter("term IS NOT NULL").join(known, "term").join(terms, "term")
+    hits = found.filter("term <> ''").join(known, "term").join(terms, "term")
     scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if mode == "all":
         wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))

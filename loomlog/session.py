@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "loomlog", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +17,12 @@ def session(app: str = "loomlog", master: str | None = None, **conf: str) -> Spa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if it is a table of so few splits that most would be idle (a few files, each one row group).
+
+    For work on texts that costs more than moving them. A table of more splits than cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,23 +28,14 @@ def daily_usage_priced(t):
     return priced.groupBy(F.year("day").cast("long").alias("y"), "p_brand").agg(F.sum("q").alias("quantity"), F.round(F.sum(F.col("q") * F.col("rate")), 4).alias("usd"), F.count_if(F.col("rate").isNull()).alias("unpriced_days"))
 
 
-@query(
-    "scd_price_lookup",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_shipdate >= TIMESTAMP '2000-06-01' THEN 'v3' WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 'v2' WHEN l_shipdate >= TIMESTAMP '1996-01-01' THEN 'v1' END AS version
-    FROM lineitem WHERE l_partkey % 50 = 1""",
-)
-def scd_price_lookup(t):
-    """The version of a part's price that held when it was shipped, of one part in fifty."""
-    return _price_versions(t, t("lineitem").filter("l_partkey % 50 = 1"))
+_VERSIONS = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_shipdate >= TIMESTAMP '2000-06-01' THEN 'v3' WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 'v2' WHEN l_shipdate >= TIMESTAMP '1996-01-01' THEN 'v1' END AS version
+    FROM lineitem"""
 
 
-@query(
-    "scd_price_lookup_all_lines",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_shipdate >= TIMESTAMP '2000-06-01' THEN 'v3' WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 'v2' WHEN l_shipdate >= TIMESTAMP '1996-01-01' THEN 'v1' END AS version
-    FROM lineitem""",
-)
-def scd_price_lookup_all_lines(t):
-    """The same of every line."""
+@query("scd_price_lookup", _VERSIONS)
+@query("scd_price_lookup_all_lines", _VERSIONS)
+def scd_price_lookup(t):
+    """The version of a part's price that held when it was shipped, of every line."""
     return _price_versions(t, t("lineitem"))
 
 

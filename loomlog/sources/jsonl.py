@@ -1,7 +1,8 @@
 """Append-only JSON-lines logs with the byte position of every record, from any store that Spark reads.
 
-Files are listed and read by Spark's binaryFile source, so paths on a cluster's store work, and a file is one task. Only
-complete lines count; a tail without a newline waits for the next read, and NULs at the end (a crash's padding) are no lag.
+A first read goes through Spark's text source, split by split, so files may be of any size. What has changed since an earlier
+read is found by its binaryFile source, one task for a changed file, as both ends of the old part are checked. Only complete
+lines count; a tail without a newline waits for the next read, and NULs at the end (a crash's padding) are no lag.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of either end of what was read that a later read checks.
@@ -94,8 +95,28 @@ def read_changes(spark: SparkSession, root: str, state: DataFrame | None = None,
     return given.select("path", "content", "offset", "lines", "head_sha", "tail_sha").mapInArrow(_lines, CHANGES)
 
 
+def all_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Every complete line with its position, of files of any size: Spark's text source reads them split by split.
+
+    A split's lines are numbered and their bytes summed within the split, the splits' totals within the file, so no task holds
+    more than a split. A last line without its end reaches beyond the file's size and is left out.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    rows = text.select(path.alias("path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), (F.octet_length("value") + 1).cast("long").alias("byte_length"), F.replace(F.make_valid_utf8("value"), F.lit("\0"), F.lit("")).alias("raw"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "_block").agg(F.sum("byte_length").alias("_bytes"), F.count("*").alias("_lines"))
+    starts = blocks.select("path", "_block", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_bytes"), F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_lines"))
+    inside = Window.partitionBy("path", "_block").orderBy("_at")
+    placed = rows.withColumns({"_before": F.coalesce(F.sum("byte_length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.row_number().over(inside)}).join(starts, ["path", "_block"])
+    out = placed.withColumns({"byte_offset": F.col("_bytes") + F.col("_before"), "line_no": F.col("_lines") + F.col("_n")})
+    return out.filter(F.col("byte_offset") + F.col("byte_length") <= F.col("_size")).select("path", "byte_offset", "byte_length", "line_no", "raw")
+
+
 def read_lines(spark: SparkSession, root: str, state: DataFrame | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """The lines of read_changes alone."""
+    """All lines, or with the state of an earlier read those of read_changes alone."""
+    if state is None:
+        return all_lines(spark, root, pattern)
     return read_changes(spark, root, state, pattern).filter("byte_offset IS NOT NULL").drop("rewritten")
 
 

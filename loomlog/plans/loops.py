@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators import temporal
 from loomlog.operators.merge import known_sum
 
 from . import sessions
@@ -149,3 +150,21 @@ def stalls(roots: DataFrame, children: DataFrame, now, live_minutes: int = 25, f
     lane_end = F.greatest(micros("spawn_ts"), F.col("_until"))
     since = F.when(lane_end.isNotNull(), F.greatest(lane_end, micros("human_ts")))
     return live.select("root", F.greatest(F.floor((at - since) / 1_000_000), F.lit(0)).alias("seconds"))
+
+
+def labelled(events: DataFrame, loops: DataFrame, at: str = "ts", tie: str = "event_uid", none: str = "(none)") -> DataFrame:
+    """events (session_uid, a time and a tie) with loop: the session's loop that was launched last before, if its window isn't over."""
+    found = temporal.asof_backward(events, loops.select("session_uid", "launched_at", "loop_id", "cutoff"), ["session_uid"], at, "launched_at", "loop_id", "_loop")
+    open_ = F.col("_loop.cutoff").isNull() | (F.col(at) < F.col("_loop.cutoff"))
+    return found.withColumn("loop", F.coalesce(F.when(open_, F.col("_loop.loop_id").cast("string")), F.lit(none))).drop("_loop")
+
+
+def lane_returns(messages: DataFrame) -> DataFrame:
+    """What lanes report: the last fenced JSON object of a message (event_uid, text) that has a status, as status, task_id,
+    version and the JSON itself. Line ends of either kind; blocks that aren't JSON objects are passed over."""
+    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^```(?:json)?[ \t]*\n([\s\S]*?)\n```[ \t]*$"), F.lit(1))
+    good = F.filter(blocks, lambda b: F.get_json_object(b, "$.status").isNotNull())
+    last = messages.withColumn("report", F.try_element_at(good, F.lit(-1))).filter("report IS NOT NULL")
+    field = lambda name: F.get_json_object("report", f"$.{name}")
+    return last.select("event_uid", field("status").alias("status"), F.coalesce(field("task_id"), field("task")).alias("task_id"), field("version").try_cast("int").alias("version"), "report")

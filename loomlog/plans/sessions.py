@@ -129,3 +129,10 @@ def session_tree(sessions: DataFrame, rolled: DataFrame) -> DataFrame:
     """Totals of each root session over its descendants."""
     tops = lineage.roots(sessions, "session_uid", "parent_uid")
     return rolled.join(tops, "session_uid").groupBy("root").agg(F.count("*").alias("sessions"), F.max("depth").alias("depth"), F.sum("calls").alias("calls"), F.sum("output_tokens").alias("output_tokens"), F.sum("tool_calls").alias("tool_calls"))
+
+
+def roles(sessions: DataFrame) -> DataFrame:
+    """sessions (session_uid, parent_uid) with role: worker (it has a parent), root (others have it as parent), else solo."""
+    parents = sessions.filter("parent_uid IS NOT NULL").select(F.col("parent_uid").alias("session_uid"), F.lit(True).alias("_has")).distinct()
+    role = F.when(F.col("parent_uid").isNotNull(), "worker").when(F.col("_has"), "root").otherwise("solo")
+    return sessions.join(parents, "session_uid", "left").withColumn("role", role).drop("_has")

@@ -132,3 +132,19 @@ def pruned(state: DataFrame, at: str, now, days: int = 2, open_flag: str | None
 def reclassified(messages: DataFrame, classify) -> DataFrame:
     """(event_uid, message_class, new_class) of the messages whose class a changed rule (a function of columns) changes."""
     return messages.withColumn("new_class", classify).filter(~F.col("message_class").eqNullSafe(F.col("new_class"))).select("event_uid", "message_class", "new_class")
+
+
+def synced(stored: DataFrame, given: DataFrame, key: Sequence[str], version: str, since=None, full: bool = False) -> DataFrame:
+    """A mirror of an outside table after a pass: rows of a newer version take the place of stored ones; of given only those beyond
+    a watermark count, unless it is a full pass, which also drops what is no longer there."""
+    new = given if full or since is None else given.filter(F.col(version) > F.lit(since))
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in stored.columns if c not in key]
+    merged = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("r")).select(*key, "r.*").select(*stored.columns)
+    return merged.join(given.select(*key).distinct(), list(key), "left_semi") if full else merged
+
+
+def repositories(sessions: DataFrame, root: Column, name: Column) -> DataFrame:
+    """(local_root, name, sessions, first_ts, last_ts) of every checkout that sessions (first_ts, last_ts) worked in."""
+    found = sessions.select(root.alias("local_root"), name.alias("name"), "first_ts", "last_ts").filter("local_root IS NOT NULL")
+    return found.groupBy("local_root", "name").agg(F.count("*").alias("sessions"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomlog.functions import classify, names, text
 from loomlog.operators import links, search, vectors
 from loomlog.operators.temporal import latest_per_key
 
@@ -567,3 +568,69 @@ def view_four_list_fusion(t):
 @query("view_latest_price", f"{WITH} SELECT model, max(effective_from) AS effective_from FROM prices GROUP BY 1")
 def view_latest_price(t):
     return latest_per_key(staged(t)["prices"], ["model"], F.desc("effective_from")).select("model", _s("effective_from").alias("effective_from"))
+
+
+@query("view_roles", f"{WITH} SELECT session_uid, CASE WHEN parent_uid IS NOT NULL THEN 'worker' WHEN session_uid IN (SELECT parent_uid FROM sessions) THEN 'root' ELSE 'solo' END AS role FROM sessions")
+def view_roles(t):
+    return sessions.roles(staged(t)["sessions"]).select("session_uid", "role")
+
+
+@query(
+    "view_loop_labels",
+    f"""{_RUNS} SELECT response_id, coalesce((SELECT loop_id::VARCHAR FROM loops l WHERE l.session_uid = c.session_uid AND l.launched_at <= c.ts AND (cutoff IS NULL OR c.ts < cutoff) ORDER BY launched_at DESC, loop_id DESC LIMIT 1), '(none)') AS loop FROM calls c""",
+)
+def view_loop_labels(t):
+    """Each call's run, by its session's launches."""
+    s = staged(t)
+    return loops.labelled(s["calls"], _runs(s)[0], "ts", "response_id").select("response_id", "loop")
+
+
+@query(
+    "view_synced",
+    """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM events WHERE event_id % 4 <> 0""",
+)
+def view_synced(t):
+    """A mirror after a full pass: newer versions win, what is gone is dropped."""
+    e = t("events").select(F.col("event_id").alias("id"))
+    stored = e.filter("id % 7 <> 0 OR id % 3 <> 0").select("id", F.lit("old").alias("v"), F.lit(5).alias("version"))
+    given = e.filter("id % 4 <> 0").select("id", F.when(F.col("id") % 3 == 0, "new").otherwise("old").alias("v"), F.when(F.col("id") % 3 == 0, 6).otherwise(4).alias("version"))
+    return upkeep.synced(stored, given, ["id"], "version", full=True).select("id", "v")
+
+
+@query("view_repositories", f"{WITH} SELECT cwd AS local_root, regexp_extract(cwd, '[^/]+$') AS name, count(*) AS sessions, epoch_us(min(first_ts)) AS first_ts, epoch_us(max(last_ts)) AS last_ts FROM sessions GROUP BY 1, 2")
+def view_repositories(t):
+    """Checkouts that sessions worked in."""
+    root = names.repo_root(F.col("cwd"))
+    return upkeep.repositories(staged(t)["sessions"], root, names.repo_name(root)).select("local_root", "name", "sessions", _us("first_ts"), _us("last_ts"))
+
+
+@query("view_genuine_and_eligible", f"{WITH} SELECT event_uid, message_class = 'human_prompt' AND text NOT LIKE '%3' AS genuine, length(text || repeat('.', byte_offset % 40)) >= 30 AS eligible FROM messages")
+def view_genuine_and_eligible(t):
+    """The owner's own words (control commands aren't), and texts long enough to embed."""
+    control = F.when(F.col("text").endswith("3"), F.concat(F.lit("<command-name>/Compact</command-name> "), "text")).otherwise(F.col("text"))
+    origin = F.when(F.col("text").endswith("3"), "slash_command").otherwise("typed")
+    long = F.concat("text", F.repeat(F.lit("."), (F.col("byte_offset") % 40).cast("int")))
+    return staged(t)["messages"].select("event_uid", classify.genuine_prompt(F.col("message_class"), origin, control).alias("genuine"), text.eligible(long).alias("eligible"))
+
+
+@query("view_source_code_terms", r"""WITH p AS (SELECT page_id, 'getHTMLPage' || page_id || '_v' || (page_id % 7) || '/' || url AS s FROM pages)
+    SELECT page_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS terms FROM p""")
+def view_source_code_terms(t):
+    """Terms of identifiers and paths: camel case, digits and underscores part words."""
+    made = F.concat(F.lit("getHTMLPage"), _s("page_id"), F.lit("_v"), (F.col("page_id") % 7).cast("string"), F.lit("/"), "url")
+    return t("pages").select("page_id", F.array_join(search.code_tokens(made), " ").alias("terms"))
+
+
+@query("view_cache_keys", f"{WITH} SELECT event_uid, sha256('[' || message_class || '] ' || CASE WHEN byte_offset % 2 = 0 THEN 'app' ELSE 'ns' END || chr(10) || text) AS key FROM messages")
+def view_cache_keys(t):
+    """Keys of the vectors of inputs."""
+    folder = F.when(F.col("byte_offset") % 2 == 0, F.lit("/x/app"))
+    return staged(t)["messages"].select("event_uid", text.cache_key(F.col("message_class"), folder, F.lit("ns"), F.col("text")).alias("key"))
+
+
+@query("view_canonical_repos", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new/home' WHEN page_id % 3 = 1 THEN 'own/repo' || page_id ELSE 'just' || page_id END AS repo FROM pages")
+def view_canonical_repos(t):
+    """Repositories by owner and name, moved ones under their new name."""
+    n = F.col("page_id") % 3
+    slug = F.when(n == 0, "Host.org/Old/Home").when(n == 1, F.concat(F.lit("host.org/Own/Repo"), _s("page_id"))).otherwise(F.concat(F.lit("Just"), _s("page_id")))
+    return t("pages").select("page_id", names.canonical_repo(slug, {"old/home": "new/home"}).alias("repo"))

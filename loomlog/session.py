@@ -20,9 +20,10 @@ def session(app: str = "loomlog", master: str | None = None, **conf: str) -> Spa
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out over all cores if it is a table of so few splits that most would be idle (a few files, each one row group).
+    """df, dealt out over all cores if it is a table of so few files and splits that most would be idle (a few row groups).
 
-    For work on texts that costs more than moving them. A table of more splits than cores is left as it is.
+    For work on texts that costs more than moving them. A table of as many files or splits as cores is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = 0 < len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df

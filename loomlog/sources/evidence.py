@@ -6,7 +6,7 @@ the order of their bytes, and windows run over one file or one session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import commands
@@ -126,3 +126,23 @@ def session_state(lines: DataFrame) -> DataFrame:
     place = F.struct("path", "byte_offset")
     last = lambda value: F.max_by(value, F.when(value.isNotNull(), place))
     return lines.filter(_at("$.sessionId").isNotNull()).groupBy(_at("$.sessionId").alias("session_uid")).agg(F.coalesce(last(own), last(made)).alias("title"), last(mode).alias("permission_mode"))
+
+
+#: Bytes of a whole-file JSON beside a log that are read; a larger one is an issue.
+SIDECAR_BYTES = 1 << 20
+
+
+def sidecars(spark: SparkSession, root: str, schema: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Whole JSON files beside the logs as (path, value), and an issue row (path, issue) for each that is too large or no object."""
+    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    large = F.col("_metadata.file_size") > SIDECAR_BYTES
+    kind = F.when(large, "too_large").when(F.try_parse_json("value").isNull(), "json_error").when(~F.ltrim("value").startswith("{"), "not_object")
+    rows = found.select(F.col("_metadata.file_path").alias("path"), kind.alias("issue"), F.when(~large, F.col("value")).alias("value"))
+    return rows.filter("issue IS NULL").select("path", F.from_json("value", schema).alias("value")), rows.filter("issue IS NOT NULL").select("path", "issue")
+
+
+def permissions(lines: DataFrame) -> DataFrame:
+    """A permission log's lines as ts, tool_name, cmd_verb, reason: what loomlog.plans.provenance.denials joins to the transcripts'."""
+    first = lambda *names: F.coalesce(*[_at(f"$.{n}") for n in names])
+    command = first("tool_input.command", "command")
+    return lines.filter(first("tool_name", "tool").isNotNull()).select(F.try_to_timestamp(first("timestamp", "ts")).alias("ts"), first("tool_name", "tool").alias("tool_name"), commands.program(command).alias("cmd_verb"), first("reason", "permission_decision_reason").alias("reason"))

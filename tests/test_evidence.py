@@ -76,3 +76,30 @@ def test_notices_and_state(spark):
     assert [(r.task_id, r.call_uid, r.status, r.tool_uses) for r in evidence.notifications(messages).collect()] == [("b1", None, "completed", 3)]
     state = [{"type": "custom-title", "sessionId": "s", "customTitle": "mine"}, {"type": "ai-title", "sessionId": "s", "aiTitle": "theirs"}, {"type": "permission-mode", "sessionId": "s", "permissionMode": "plan"}, {"type": "permission-mode", "sessionId": "s", "permissionMode": "auto"}, {"type": "ai-title", "sessionId": "r", "aiTitle": "one"}]
     assert {r.session_uid: (r.title, r.permission_mode) for r in evidence.session_state(lines_of(spark, {"p": state})).collect()} == {"s": ("mine", "auto"), "r": ("one", None)}
+
+
+def test_sidecars_and_permissions(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"n": 1, "s": "x"}')
+    (tmp_path / "b.json").write_text("[1]")
+    (tmp_path / "c.json").write_text("{")
+    (tmp_path / "d.json").write_text('{"s": "' + "y" * evidence.SIDECAR_BYTES + '"}')
+    good, bad = evidence.sidecars(spark, str(tmp_path), "n int, s string")
+    assert [(r.value.n, r.value.s) for r in good.collect()] == [(1, "x")]
+    assert {r.path.rsplit("/", 1)[1]: r.issue for r in bad.collect()} == {"b.json": "not_object", "c.json": "json_error", "d.json": "too_large"}
+    log = lines_of(spark, {"p": [{"timestamp": at(1), "tool_name": "Bash", "tool_input": {"command": "sudo rm -r x"}, "reason": "no"}, {"other": 1}]})
+    assert [(r.tool_name, r.cmd_verb, r.reason) for r in evidence.permissions(log).collect()] == [("Bash", "rm", "no")]
+
+
+def test_lane_returns(spark):
+    block = lambda s, tag="json": f"```{tag}\n{s}\n```"
+    texts = [
+        (1, "report\n" + block('{"status": "done", "task_id": "K-1", "version": 2}')),
+        (2, (block('{"status": "open"}', "") + "\n" + block('{"status": "late", "task": "K-2"}')).replace("\n", "\r\n")),
+        (3, block("not json") + "\n" + block('{"other": 1}')),
+        (4, '{"status": "bare"}'),
+        (5, None),
+    ]
+    from loomlog.plans import loops
+
+    got = {r.event_uid: (r.status, r.task_id, r.version) for r in loops.lane_returns(spark.createDataFrame(texts, "event_uid int, text string")).collect()}
+    assert got == {1: ("done", "K-1", 2), 2: ("late", "K-2", None)}

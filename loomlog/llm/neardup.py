@@ -37,6 +37,8 @@ BAND = 4
 MARGIN = 5.5
 #: Members of a confirmation group; members and shingles of a block of an open family.
 CHUNK, BLOCK, BLOCK_SHINGLES = 64, 1024, 1_000_000
+#: Members of open families (two numbers each) that are broadcast to the documents at most.
+MOST_BROADCAST = 500_000
 
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -264,7 +266,8 @@ def hidden_links(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: D
     outside = blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
     families = families.select("hub", F.col("top.comp").alias("main"), outside.alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights"))
     open_rows = written(labelled.join(written(families, "open"), "hub"), "members")  # a written table, so that the join may split a large family
-    asked = open_rows.select("rep", "f1").distinct()
+    asked = written(open_rows.select("rep", "f1").distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked  # else the documents are shuffled
     sets = written(docs.join(asked, docs["doc_id"] == asked["rep"]).select("rep", "f1", "text").mapInArrow(_set_maker(k), SETS).dropDuplicates(["rep"]), "sets")
     own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))

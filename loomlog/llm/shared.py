@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.session import spread
+
 #: A word, in every operator here: a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -105,7 +107,7 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     """df's columns of the given names under the keywords, and nothing else; a doc_id becomes a long.
 
     Columns that have their name and type already are taken without an alias, so that plans which read a table twice stay
-    equal and Spark shuffles it once.
+    equal and Spark shuffles it once. A table with texts in fewer files than there are cores is dealt out over them.
     """
     if "text" in names:
         small_batches(df.sparkSession)
@@ -116,7 +118,7 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
         out = numbered(df).select(*[F.col(place_of(df, name)).alias(own) for own, name in names.items()])
     if dict(out.dtypes).get("doc_id", "bigint") != "bigint":
         out = out.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return out
+    return spread(out) if "text" in names else out
 
 
 def _give_back() -> None:

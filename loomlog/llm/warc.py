@@ -1,8 +1,9 @@
 """WARC files to capture records: what loomlog.llm.revisits resolves.
 
-Files are read by Spark's binaryFile source, one task each; compressed files are gzip members one after another, as the
-format asks. Only HTTP responses and server-not-modified revisits are captures; other records are passed over, and a record
-that is cut off ends its file.
+Files are read by Spark's binaryFile source, one task each (so a file has at most 2 GB as it lies); compressed files are gzip
+members one after another, as the format asks. They are inflated a piece at a time, and one record is held at a time. Only HTTP
+responses and server-not-modified revisits are captures; other records are passed over. A record without a length is skipped
+to the next one that begins a line; what is cut off or broken ends its file. read_issues counts both.
 """
 
 from __future__ import annotations
@@ -20,21 +21,32 @@ NOT_MODIFIED = "server-not-modified"
 CAPTURES = "record_id long, warc_id string, url string, captured long, kind string, http_status int, headers map<string,string>, body binary, body_sha256 string"
 
 
-def plain_bytes(content: bytes) -> bytes:
-    """The content of a plain or gzip file; what follows the last whole member is dropped."""
+#: Bytes that are inflated at a time.
+PIECE = 1 << 20
+
+
+def plain_pieces(content: bytes) -> Iterator[bytes]:
+    """The content of a plain or gzip file, piece by piece; a broken member raises zlib.error."""
+    view, at = memoryview(content), 0
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
+        while at < len(view):
+            yield bytes(view[at : at + PIECE])
+            at += PIECE
+        return
+    while at < len(view):
         member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(content))
-        except zlib.error:
-            break
-        content = member.unused_data
+        while not member.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            data = member.decompress(piece, PIECE)
+            at += len(piece)
+            while data:
+                yield data
+                data = b"" if member.eof else member.decompress(member.unconsumed_tail, PIECE)
+            at -= len(member.unused_data)
         if not member.eof:
-            break
-    return b"".join(out)
+            raise zlib.error("cut off")
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
 
 
 def header_map(block: bytes) -> dict[str, str]:
@@ -48,19 +60,51 @@ def header_map(block: bytes) -> dict[str, str]:
     return out
 
 
+def entries(content: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """(WARC header, block) of each whole record, and in its place a word for what can't be read: no_length or broken."""
+    pieces, held = plain_pieces(content), bytearray()
+
+    def more() -> bool:
+        try:
+            held.extend(next(pieces))
+        except StopIteration:
+            return False
+        return True
+
+    try:
+        while True:
+            while (begin := held.find(b"WARC/")) < 0:
+                del held[: max(0, len(held) - 4)]
+                if not more():
+                    return
+            del held[:begin]
+            while (end := held.find(b"\r\n\r\n")) < 0:
+                if not more():
+                    yield "broken"
+                    return
+            head = {k.lower(): v for k, v in header_map(bytes(held[:end])).items()}
+            length = head.get("content-length", "")
+            if not length.isdigit():
+                yield "no_length"
+                while (nxt := held.find(b"\nWARC/", end)) < 0:
+                    if not more():
+                        return
+                del held[: nxt + 1]
+                continue
+            to = end + 4 + int(length)
+            while len(held) < to:
+                if not more():
+                    yield "broken"
+                    return
+            yield head, bytes(held[end + 4 : to])
+            del held[:to]
+    except zlib.error:
+        yield "broken"
+
+
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(WARC header, block) of each whole record."""
-    data, at = plain_bytes(content), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = {k.lower(): v for k, v in header_map(data[at:end]).items()}
-        length = head.get("content-length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
-            return
-        yield head, data[end + 4 : end + 4 + int(length)]
-        at = end + 4 + int(length)
+    return (e for e in entries(content) if not isinstance(e, str))
 
 
 def capture(head: dict[str, str], block: bytes) -> dict | None:
@@ -112,3 +156,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all WARC files below a path. record_id is a hash of WARC-Record-ID, captured microseconds since 1970."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(_captures, CAPTURES)
+
+
+def _issues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            counts = {"no_length": 0, "broken": 0}
+            n = 0
+            for e in entries(content.as_py() or b""):
+                if isinstance(e, str):
+                    counts[e] += 1
+                n += 1
+            rows.append({"path": path, "records": n - sum(counts.values()), **counts})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("records", "no_length", "broken"))]))
+
+
+def read_issues(spark: SparkSession, path: str) -> DataFrame:
+    """For each WARC file below a path how many records it has, and how many couldn't be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(_issues, "path string, records long, no_length long, broken long")

@@ -39,4 +39,4 @@ def test_no_link_is_lost(spark, k):
     want = exact([(r.doc_id, r.text) for r in docs.collect()], k, 80)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k).collect()}
     assert got == want
-    assert sum(i != c for i, c in want.items()) > 100
+    assert sum(i != c for i, c in want.items()) > 50

@@ -353,7 +353,8 @@ def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window:
     # one plan, in which the shuffled documents serve both joins here and the last one of without_repeats
     cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT)
     frequent = cut(frequent_only).select("anchor", "part", "doc_id", "words").mapInArrow(_first_windows(window), "anchor long, part long, words binary, first long, last long, n long")
-    confirmed = frequent.groupBy("anchor", "part", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z"), F.sum("n").alias("n")).filter("doc_id <> z")
+    confirmed = frequent.groupBy("anchor", "part", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z"), F.sum("n").alias("n")).filter("doc_id <> z AND n > 1")
+    # (both uses of it read all its columns, so that Spark computes it once)
     # a shard of more rows than two shards' has a window in very many documents; such shards are few
     crowded = confirmed.groupBy("anchor", "part").agg(F.ceil(F.sum("n") / SHARD_SEGMENTS).alias("subs")).filter("subs > 2")
     subs = F.coalesce(F.col("subs"), F.lit(1).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hostrules, mixing, neardup, packing, phrases, pii, quality, revisits, vafile, wordpieces
+from . import hostrules, leaks, mixing, neardup, negatives, packing, phrases, pii, quality, revisits, runs, vafile, wordpieces
 
 QUERIES = {
     "op1_repeated_phrases": phrases.op1_repeated_phrases,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_vector_approximation": vafile.op8_vector_approximation,
     "op9_personal_data": pii.op9_personal_data,
     "op10_host_rules": hostrules.op10_host_rules,
+    "op11_leaks": leaks.op11_leaks,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op5_setsketch": neardup.ORACLE,
     "op8_vector_approximation": vafile.ORACLE,
     "op10_host_rules": hostrules.ORACLE,
+    "op11_leaks": leaks.ORACLE,
+    "op12_periodic_runs": runs.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }

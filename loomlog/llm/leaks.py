@@ -133,7 +133,7 @@ def _groups(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.nda
     order = np.argsort(owner, kind="stable")
     owner, values = owner[order], values[order]
     heads = np.flatnonzero(np.diff(owner, prepend=-1) != 0)
-    for a, b in zip(heads, [*heads[1:], len(owner)], strict=True):
+    for a, b in zip(heads, np.append(heads[1:], len(owner))[: len(heads)], strict=True):
         yield int(owner[a]), values[a:b]
 
 

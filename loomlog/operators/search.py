@@ -53,7 +53,7 @@ def bm25(docs: DataFrame, id: str, text: str, queries: DataFrame, tokens=plain_t
     mean length come from the postings that are scored, so texts are read and taken apart once.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = sorted({r["term"] for r in terms.select("term").limit(MOST_TERMS + 1).collect()})
+    asked = sorted({r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()})
     many = len(asked) > MOST_TERMS
     found = postings(docs, id, text, tokens, None if many else asked)
     if many:

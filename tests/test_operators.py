@@ -108,3 +108,13 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0])], "k int, v array<double>")
     assert df.select(vectors.normalised(F.col("v")).alias("n")).first().n == [0.6, 0.8]
     assert {r.k: r.v for r in vectors.mean_vector(df, "k", "v").collect()} == {1: [2.0, 2.0], 2: [0.0, 0.0]}
+
+
+def test_bm25_asks_for_every_distinct_term(spark, monkeypatch):
+    monkeypatch.setattr(search, "MOST_TERMS", 10)
+    docs = spark.createDataFrame([(i, "alpha beta" if i else "heed alpha") for i in range(6)], "id int, t string")
+    many = [(i, "alpha") for i in range(50)] + [(99, "heed")]
+    for extra in ([], [(200 + i, f"term{i}") for i in range(30)]):  # few distinct terms in many rows; more than the list may hold
+        q = spark.createDataFrame(many + extra, "query_id int, query string")
+        found = {(r.query_id, r.id) for r in search.bm25(docs, "id", "t", q).collect()}
+        assert found == {(i, d) for i in range(50) for d in range(6)} | {(99, 0)}

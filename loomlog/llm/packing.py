@@ -168,13 +168,17 @@ def _window_packer(length: int):
 def pack_in_order(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, window_pieces: int = WINDOW_PIECES, path: str | None = None) -> DataFrame:
     """Rows as pack() makes them, of a Parquet table as read, packed by windows of its order; sequence_id ascends in that order.
 
-    The order is that of the writer's files and of the rows in each, which is the order that was written.
+    The order is that of the writer's files and of the rows in each, which is the order that was written. Null text is empty (one
+    end token); a null id stays null. Repeated rows are packed each, in their places, so there are no ties. An empty table gives no
+    rows, and a text of any length is tokenized whole and cut. Other columns play no part, also one named _metadata; a table as
+    read holds no two names that differ in case only (written() tells such apart).
     """
     path = path or vocabulary_path()
-    name = F.col("_metadata.file_name")
+    file = docs.metadataColumn("_metadata")
+    name = file["file_name"]
     part = lambda of: F.coalesce(F.nullif(F.regexp_extract(name, of, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
     # part-00012-...-c003.snappy.parquet: the task, and its files one after the other
-    named = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (part(r"^part-(\d{1,12})") * (1 << 20) + part(r"-c(\d{1,6})\.")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    named = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (part(r"^part-(\d{1,12})") * (1 << 20) + part(r"-c(\d{1,6})\.")).alias("_file"), file["row_index"].alias("_row"))
     small_batches(docs.sparkSession)
     pieces = written(named.mapInArrow(_Tokenize(length, end, path), PIECES + ", _file long, _row long"), "pieces").withColumn("_chunk", F.floor(F.col("_row") / CHUNK_ROWS))
     counts = pieces.groupBy("_file", "_chunk").agg(F.count("*").alias("_n"))

@@ -139,7 +139,8 @@ def _recurring_anchors(buckets: int):
 
 
 #: words: WIDTH bytes of hash for each of a run's words. A window is told by 13 of them. part is 0 where the anchor has one shard.
-SEGMENT = "anchor long, shards long, part long, doc_id long, start long, words binary"
+#: own: of an id that several texts share, half the key of the run's text; else 0.
+SEGMENT = "anchor long, shards long, part long, doc_id long, own long, start long, words binary"
 
 
 def _binary(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -179,9 +180,12 @@ def _segments(window: int, gram: int):
             last, shards = np.where(alone, first, np.repeat(last, sizes)), np.repeat(shards, sizes)
             begin = starts[first]
             part = np.where(alone, (gram_hashes(hashes, window)[begin] % shards.astype(np.uint64)).astype(np.int64), 0)
+            own = np.zeros(len(batch), dtype=np.int64)
+            for i in np.flatnonzero(batch.column("shared").to_numpy(zero_copy_only=False)).tolist():
+                own[i] = _text_key(hashes[offsets[i] : offsets[i + 1]])[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(anchor[first])), pa.array(shards), pa.array(part), batch.column("doc_id").take(pa.array(owner[first])), pa.array(begin - offsets[owner[first]]), _binary(hashes, begin, starts[last] - begin + window)],
-                ["anchor", "shards", "part", "doc_id", "start", "words"],
+                [pa.array(signed(anchor[first])), pa.array(shards), pa.array(part), batch.column("doc_id").take(pa.array(owner[first])), pa.array(own[owner[first]]), pa.array(begin - offsets[owner[first]]), _binary(hashes, begin, starts[last] - begin + window)],
+                ["anchor", "shards", "part", "doc_id", "own", "start", "words"],
             )
 
     return cut
@@ -225,7 +229,7 @@ def _first_windows(window: int):
     return firsts
 
 
-RANGES = "doc_id long, begin long, end long"
+RANGES = "doc_id long, own long, begin long, end long"
 
 
 def _signs(letters: np.ndarray, most: int) -> tuple[np.ndarray, int]:
@@ -242,7 +246,7 @@ def _signs(letters: np.ndarray, most: int) -> tuple[np.ndarray, int]:
 def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
     """Compiles the recurring windows of whole shards to an automaton and streams the shards' runs through it."""
     rows = _Rows(table.column("words"), window)
-    docs, start, shards = (longs(table.column(c)) for c in ("doc_id", "start", "shards"))
+    docs, own, start, shards = (longs(table.column(c)) for c in ("doc_id", "own", "start", "shards"))
     given = table.column("start").is_null().to_numpy()
     alone = ~given[rows.row] & (shards[rows.row] == 1)  # windows of shards that are confirmed here
     at, first, last, _ = _recurring(rows.hashes[alone], docs[rows.row[alone]])
@@ -279,10 +283,10 @@ def _locate(table: pa.Table, window: int) -> pa.RecordBatch:
         begins = np.flatnonzero(new)
         ends = np.concatenate((begins[1:], [len(where)]))[: len(begins)] - 1
         base = start[where[begins]].astype(np.int64)
-        columns = docs[where[begins]], base + inside[begins], base + inside[ends] + window
+        columns = docs[where[begins]], own[where[begins]], base + inside[begins], base + inside[ends] + window
     else:
-        columns = (np.zeros(0, np.int64),) * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end"])
+        columns = (np.zeros(0, np.int64),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "own", "begin", "end"])
 
 
 def _located(window: int, bound: int):
@@ -322,14 +326,21 @@ def _cut_out(window: int):
             words, offsets = words_of(batch.column("text"))
             n = np.diff(offsets)
             gone = np.zeros(len(words) + 1, dtype=np.int64)
-            copy = batch.column("is_copy").to_numpy(zero_copy_only=False) & (n >= window)
+            # what was found for an id and a text; the texts' own keys are needed only where an id has several
+            lists = [batch.column(c) for c in ("copies", "ranges")]
+            row_of = [np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in lists]
+            copies, ranges = (x.flatten() for x in lists)
+            told = [longs(copies), longs(ranges.field("own"))]
+            own = np.zeros(len(batch), dtype=np.int64)
+            for i in np.unique(np.concatenate([r[t != 0] for r, t in zip(row_of, told, strict=True)])).tolist():
+                own[i] = _text_key(word_hashes(words.slice(offsets[i], n[i])))[0]
+            mine = [(t == 0) | (t == own[r]) for r, t in zip(row_of, told, strict=True)]
+            copy = np.unique(row_of[0][mine[0]])
             np.add.at(gone, offsets[:-1][copy], 1)
             np.add.at(gone, offsets[1:][copy], -1)
-            lists = batch.column("ranges")
-            of = np.repeat(offsets[:-1], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            ranges = lists.flatten()
-            np.add.at(gone, of + longs(ranges.field("begin")), 1)
-            np.add.at(gone, of + longs(ranges.field("end")), -1)
+            of = offsets[:-1][row_of[1]][mine[1]]
+            np.add.at(gone, of + longs(ranges.field("begin"))[mine[1]], 1)
+            np.add.at(gone, of + longs(ranges.field("end"))[mine[1]], -1)
             kept = np.cumsum(gone)[:-1] == 0
             left = np.concatenate(([0], np.cumsum(kept)))[offsets]
             flat = words.filter(pa.array(kept)) if not kept.all() else words
@@ -340,8 +351,9 @@ def _cut_out(window: int):
     return removed
 
 
-def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, begin, end): word ranges of the documents in firsts (doc_id; one per distinct text) to remove."""
+def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, own, begin, end): word ranges of the documents in firsts (doc_id; one per distinct text) to remove. shared: the ids
+    (doc_id, shared) of several texts, whose ranges are told by the text too."""
     entries = (keys.agg(F.sum("n_words")).first()[0] or 0) * 2 / (window - gram + 2)  # a window of w grams has about 2 / (w + 1) anchors a word
     buckets = max(1, math.ceil(entries / BUCKET_ENTRIES))
     found = docs.mapInArrow(_bucketed(window, gram, buckets), PACKED).groupBy("bucket").applyInArrow(_recurring_anchors(buckets), HITS)
@@ -349,20 +361,21 @@ def repeated_ranges(docs: DataFrame, keys: DataFrame, firsts: DataFrame, window:
     counted = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y")
     hits = found.join(counted.select("anchor", F.ceil(F.col("n") / SHARD_SEGMENTS).alias("shards")), "anchor")
     wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shards")).alias("recurring"))  # bounded by the document's length
-    frequent_only = wanted.select("doc_id", F.filter("recurring", lambda x: x["shards"] > 1).alias("recurring")).filter(F.size("recurring") > 0)
+    wanted = wanted.join(shared, "doc_id", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    frequent_only = wanted.select("doc_id", "shared", F.filter("recurring", lambda x: x["shards"] > 1).alias("recurring")).filter(F.size("recurring") > 0)
     # one plan, in which the shuffled documents serve both joins here and the last one of without_repeats
-    cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring").mapInArrow(_segments(window, gram), SEGMENT)
+    cut = lambda w: docs.join(w, "doc_id").select("doc_id", "text", "recurring", "shared").mapInArrow(_segments(window, gram), SEGMENT)
     frequent = cut(frequent_only).select("anchor", "part", "doc_id", "words").mapInArrow(_first_windows(window), "anchor long, part long, words binary, first long, last long, n long")
     confirmed = frequent.groupBy("anchor", "part", "words").agg(F.min("first").alias("doc_id"), F.max("last").alias("z"), F.sum("n").alias("n")).filter("doc_id <> z AND n > 1")
     # (both uses of it read all its columns, so that Spark computes it once)
     # a shard of more rows than two shards' has a window in very many documents; such shards are few
     crowded = confirmed.groupBy("anchor", "part").agg(F.ceil(F.sum("n") / SHARD_SEGMENTS).alias("subs")).filter("subs > 2")
     subs = F.coalesce(F.col("subs"), F.lit(1).cast("long"))
-    dealt = cut(wanted).join(crowded, ["anchor", "part"], "left").withColumn("sub", F.pmod(F.xxhash64("doc_id", "start"), subs))
+    dealt = cut(wanted).join(crowded, ["anchor", "part"], "left").withColumn("sub", F.pmod(F.xxhash64("doc_id", "own", "start"), subs))
     given = confirmed.join(crowded, ["anchor", "part"], "left").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), subs - 1)))
     shards = ["anchor", "part", "sub"]
-    columns = [*shards, "shards", "doc_id", "start", "words"]
-    rows = dealt.select(*columns).unionByName(given.select(*shards, F.lit(2).cast("long").alias("shards"), "doc_id", F.lit(None).cast("long").alias("start"), "words"))
+    columns = [*shards, "shards", "doc_id", "own", "start", "words"]
+    rows = dealt.select(*columns).unionByName(given.select(*shards, F.lit(2).cast("long").alias("shards"), "doc_id", F.lit(0).cast("long").alias("own"), F.lit(None).cast("long").alias("start"), "words"))
     return rows.repartition(*shards).sortWithinPartitions(*shards).mapInArrow(_located(window, AUTOMATON_WORDS), RANGES)
 
 
@@ -370,18 +383,23 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """One row per document: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space.
 
     Null text has no words. Texts shorter than a window lose nothing. Rows that share an id are one document as to order:
-    they never remove each other's words. Rows with a null id remove nothing and lose nothing.
+    they never remove each other's words, and each loses only what its own text shares with smaller ids. Rows with a null id remove
+    nothing and lose nothing. An empty table gives no rows; of columns of like names the ones named exactly id and text count.
     """
     slim = picked(docs, doc_id=id, text=text)
     known = slim.filter(F.col("doc_id").isNotNull())
     keys = written(known.mapInArrow(_keys, KEYS), "keys")
     classes = written(keys.filter(F.col("n_words") >= window).groupBy("n_words", "k1", "k2").agg(F.min("doc_id").alias("first")), "texts")
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
-    ranges = repeated_ranges(known, keys, firsts, window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    copies = keys.select("doc_id", "n_words", "k1", "k2").join(classes, ["n_words", "k1", "k2"]).filter("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct()
+    text = F.struct("n_words", "k1", "k2")
+    shared = written(keys.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a <> b").select("doc_id", F.lit(True).alias("shared")), "shared")
+    ranges = repeated_ranges(known, keys, firsts, shared, window).groupBy("doc_id").agg(F.collect_list(F.struct("own", "begin", "end")).alias("ranges"))
+    copies = keys.join(classes, ["n_words", "k1", "k2"]).filter("doc_id <> first").join(shared, "doc_id", "left")
+    copies = copies.groupBy("doc_id").agg(F.collect_set(F.when(F.col("shared"), F.col("k1")).otherwise(0)).alias("copies"))
     found = known.join(ranges.join(copies, "doc_id", "full"), "doc_id", "left")
-    nameless = slim.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("ranges"), F.lit(False).alias("is_copy"))
-    every = found.select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("is_copy")).union(nameless)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    nameless = slim.filter(F.col("doc_id").isNull()).select("doc_id", "text", none("array<struct<own:bigint,begin:bigint,end:bigint>>", "ranges"), none("array<bigint>", "copies"))
+    every = found.select("doc_id", "text", "ranges", "copies").union(nameless)
     return every.mapInArrow(_cut_out(window), RESULT)
 
 

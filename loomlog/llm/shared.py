@@ -50,10 +50,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 _TABLES: dict[str, SparkSession] = {}
 
 
+def told_apart(names: list[str]) -> list[str]:
+    """The names, those that differ in case only (or not at all) told apart by a number: a table can hold no such two. The one
+    in small letters keeps its name, else the first."""
+    out, taken = list(names), {n.lower() for n in names}
+    for lower in taken.copy():
+        alike = [i for i, n in enumerate(names) if n.lower() == lower]
+        keeps = next((i for i in alike if names[i] == lower), alike[0])
+        number = 2
+        for i in alike:
+            if i != keeps:
+                while f"{lower}_{number}" in taken:
+                    number += 1
+                out[i] = f"{names[i]}_{number}"
+                taken.add(f"{lower}_{number}")
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It goes at the end of the
-    passing_tables block that it was written in, else when the driver's Python ends."""
+    passing_tables block that it was written in, else when the driver's Python ends. Columns of like names are renamed (told_apart)."""
     path = f"{shared_folder(df.sparkSession)}/loomlog-{name}-{uuid.uuid4().hex}"
+    if (names := told_apart(df.columns)) != df.columns:
+        df = df.toDF(*names)
     df.write.parquet(path)
     _TABLES[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)

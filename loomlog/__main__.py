@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from loomlog.operators import search
 from loomlog.plans import sessions
 from loomlog.session import session
-from loomlog.sources import jsonl, signals, transcripts
+from loomlog.sources import jsonl, logs, signals, transcripts
 
 PRICES = "model string, effective_from date, input double, cached double, cache_write double, output double"
 
 
 def _lines(spark: SparkSession, a) -> dict[str, DataFrame]:
-    return {agent: jsonl.parsed(jsonl.read_lines(spark, folder))[0] for agent, folder in a.logs}
+    return {agent: jsonl.parsed(logs.log_lines(spark, folder)[0].filter("error IS NULL"))[0] for agent, folder in a.logs}
 
 
 def _prices(spark: SparkSession, a) -> DataFrame:

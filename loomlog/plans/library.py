@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import events, reports, tables, texts, upkeep_views, views  # noqa: F401  importing a module registers its queries
+from . import events, reports, run_views, tables, texts, upkeep_views, views  # noqa: F401  importing a module registers its queries
 from .catalogue import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

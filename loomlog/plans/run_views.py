@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.operators.accept import AcceptSpec, accept_fold
+
 from . import live
 from .catalogue import query
 
@@ -75,3 +77,41 @@ SELECT loop_id, CASE WHEN (began OR watching OR beat_at IS NOT NULL OR closed) A
 def view_live_phase(t):
     """Every run's phase and figures as of NOW."""
     return live.judged(live.fold(run_events(t)), F.lit(NOW).cast("timestamp"))
+
+
+_SNAPSHOTS_SQL = """WITH RECURSIVE raw AS (SELECT *, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k, event_id AS i FROM events),
+snap AS (SELECT 'u' || user_id AS session_uid, event_type AS request_id, i AS arrival, ts + to_hours(CASE WHEN k % 6 = 0 THEN -30 ELSE k % 5 END) AS written_at, CASE WHEN i % 23 = 0 THEN 'other' ELSE 'first' END AS started,
+    CASE WHEN k >= 97 THEN ts WHEN k >= 94 THEN ts - INTERVAL 40 DAY END AS ended_at, CASE WHEN k >= 94 THEN 'done' ELSE 'active' END AS state, i // 50 + k % 4 AS events, CASE WHEN i % 4 <> 0 THEN i // 90 + k % 3 END AS deltas,
+    CASE WHEN i % 3 = 0 THEN 'p' || (i % 29 = 0) END AS pid, CASE WHEN k % 2 = 0 THEN 'e' || (k % 5) END AS effort, CASE WHEN k % 7 <> 0 THEN 'm' || k END AS model FROM raw),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_uid, request_id ORDER BY arrival) AS n FROM snap),
+f AS (SELECT *, 0::BIGINT AS n_accepted, 0::BIGINT AS n_refused, 0::BIGINT AS n_ignored FROM r WHERE n = 1 UNION ALL
+    SELECT session_uid, request_id, CASE WHEN ok THEN b.arrival ELSE a.arrival END, CASE WHEN ok THEN b.written_at ELSE a.written_at END, a.started, CASE WHEN ok THEN b.ended_at ELSE a.ended_at END, CASE WHEN ok THEN b.state ELSE a.state END,
+        CASE WHEN ok THEN b.events ELSE a.events END, CASE WHEN ok THEN b.deltas ELSE a.deltas END, CASE WHEN own THEN coalesce(a.pid, b.pid) ELSE a.pid END, CASE WHEN own THEN coalesce(a.effort, b.effort) ELSE a.effort END, CASE WHEN ok THEN b.model ELSE a.model END,
+        b.n, n_accepted + ok::BIGINT, n_refused + (own AND NOT ok)::BIGINT, n_ignored + (NOT own)::BIGINT
+    FROM (SELECT f AS a, r AS b, f.session_uid, f.request_id, f.n_accepted, f.n_refused, f.n_ignored, f.started = r.started AND coalesce(f.pid = r.pid, true) AS own,
+        f.started = r.started AND coalesce(f.pid = r.pid, true) AND f.state = 'active' AND (r.written_at > f.written_at OR (r.written_at = f.written_at AND r.state <> 'active')) AND coalesce(r.ended_at >= f.written_at, true)
+            AND coalesce(r.events >= f.events, true) AND coalesce(r.deltas >= f.deltas, true) AS ok
+        FROM f JOIN r ON f.session_uid = r.session_uid AND f.request_id = r.request_id AND r.n = f.n + 1))
+SELECT session_uid, request_id, arrival, epoch_us(written_at)::BIGINT AS written_at, state, events, deltas, pid, effort, model, n_accepted, n_refused, n_ignored FROM f QUALIFY row_number() OVER (PARTITION BY session_uid, request_id ORDER BY n DESC) = 1"""
+
+SNAPSHOT = AcceptSpec(("session_uid", "request_id"), "arrival", "written_at", "started", "ended_at", "state", ("events", "deltas"), ("pid",), ("pid", "effort"))
+
+
+def run_snapshots(t) -> DataFrame:
+    """Snapshots of requests: users and event types stand for requests, the number in props for what goes wrong."""
+    k, i = F.col("k"), F.col("event_id")
+    raw = t("events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
+    named = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    at = F.unix_micros("ts")
+    hours = F.when(k % 6 == 0, F.lit(-30)).otherwise(k % 5)
+    return raw.select(
+        named("u", F.col("user_id")).alias("session_uid"), F.col("event_type").alias("request_id"), i.alias("arrival"), (at + hours * 3_600_000_000).alias("written_at"), F.when(i % 23 == 0, "other").otherwise("first").alias("started"),
+        F.when(k >= 97, at).when(k >= 94, at - 40 * 86_400_000_000).alias("ended_at"), F.when(k >= 94, "done").otherwise("active").alias("state"), (F.floor(i / 50) + k % 4).alias("events"), F.when(i % 4 != 0, F.floor(i / 90) + k % 3).alias("deltas"),
+        F.when(i % 3 == 0, named("p", i % 29 == 0)).alias("pid"), F.when(k % 2 == 0, named("e", k % 5)).alias("effort"), F.when(k % 7 != 0, named("m", k)).alias("model"),
+    )
+
+
+@query("view_snapshots_accepted_in_turn", _SNAPSHOTS_SQL)
+def view_snapshots_accepted_in_turn(t):
+    """What counts of each request's snapshots, each held against the last accepted one."""
+    return accept_fold(run_snapshots(t), SNAPSHOT).drop("started", "ended_at")

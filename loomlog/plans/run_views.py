@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.accept import AcceptSpec, accept_fold
 
-from . import live
+from . import live, state_log
 from .catalogue import query
 
 #: The time as of which runs are judged.
@@ -115,3 +115,101 @@ def run_snapshots(t) -> DataFrame:
 def view_snapshots_accepted_in_turn(t):
     """What counts of each request's snapshots, each held against the last accepted one."""
     return accept_fold(run_snapshots(t), SNAPSHOT).drop("started", "ended_at")
+
+
+#: What a frame of each kind holds, by the number in props (k % 9); kind 8 does not fit its schema where k = 98.
+_BODIES = (
+    ("admit", '"task": "t{n}", "source": "envelope", "owned": ["a"], "accept": "x"'),
+    ("dispatch", '"lane": "l{n}", "task": "t{n}", "agent": "a", "run": "r", "base": "b", "tier": "guarded"'),
+    ("return", '"lane": "l{n}", "run": "r", "status": "complete", "exit": null, "coderabbit": {"ran": true, "major": 1, "unreviewed": 0}'),
+    ("accept", '"task": "t{n}", "accepted": {ok}, "reason": "r"'),
+    ("park", '"task": "t{n}", "reason": "r", "needs": "owner"'),
+    ("land", '"task": "t{n}", "sha": "s", "gate": "g", "mode": "after-green"'),
+    ("heartbeat", '"at": "soon"'),
+    ("close", '"reason": "budget"'),
+    ("judgement", '"text": {text}'),
+)
+_FILL = {"{n}": "n", "{ok}": "ok", "{text}": "text"}
+
+
+def _pieces(body: str) -> list[str]:
+    """A body cut at its places."""
+    out = [body]
+    for mark in _FILL:
+        out = [p for x in out for p in ([y for z in x.split(mark) for y in (z, mark)][:-1] if x not in _FILL else [x])]
+    return [p for p in out if p]
+
+
+_as_sql = lambda body: " || ".join(_FILL[p] if p in _FILL else "'" + p.replace("'", "''") + "'" for p in _pieces(body))
+_LINES_SQL = f"""WITH raw AS (SELECT *, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+c AS (SELECT *, unnest([0, 1]) AS copy FROM raw),
+f AS (SELECT user_id, copy, rn, k, event_id, CASE WHEN rn = 1 THEN 'open' ELSE {_list([b[0] for b in _BODIES])}[k % 9 + 1] END AS ev, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, (k % 4)::VARCHAR AS n, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS ok,
+    CASE WHEN k = 98 AND user_id % 4 = 0 THEN '7' WHEN copy = 1 AND event_id % 41 = 0 THEN '"other"' ELSE '"note"' END AS text FROM c),
+lines AS (SELECT 'u' || user_id || '-' || copy AS copy_id, rn AS line_no, '{{"v": 1, "seq": ' || (rn + CASE WHEN user_id % 11 = 5 AND rn > 20 THEN 1 ELSE 0 END) || ', "ts": "' || ts || '", "by": "' || CASE WHEN k % 5 = 0 THEN 'daemon' ELSE 'root' END || '", "ev": "' || ev || '", '
+    || CASE ev WHEN 'open' THEN '"goal_sha256": "' || sha256(user_id::VARCHAR) || '", "tier": "routine", "root": "llm", "root_model": "m", "envelope": []' {" ".join(f"WHEN '{ev}' THEN {_as_sql(body)}" for ev, body in _BODIES)} END
+    || CASE WHEN user_id % 7 = 3 AND copy = 1 AND k = 50 THEN ', "extra": 1' ELSE '' END || '}}' AS raw FROM f
+    UNION ALL SELECT DISTINCT 'u' || user_id || '-1', 1000000, '{{"v": 1, "se' FROM f),
+p AS (SELECT copy_id, line_no, CASE WHEN json_valid(raw) THEN raw::JSON END AS d FROM lines WHERE NOT (NOT json_valid(raw) AND starts_with(raw, '{{') AND NOT ends_with(raw, '}}'))),
+t AS (SELECT *, d->>'ev' AS ev, (d->>'seq')::BIGINT AS seq, d->>'ts' AS tm, d->>'by' AS actor, d->>'task' AS task, d->>'goal_sha256' AS goal, d->>'reason' AS reason, (d->>'accepted') = 'true' AS accepted, row_number() OVER (PARTITION BY copy_id ORDER BY line_no) AS place FROM p),
+g AS (SELECT *, CASE WHEN seq <> place THEN 'order' WHEN list_contains(json_keys(d), 'extra') OR (ev = 'judgement' AND json_type(d->'text') <> 'VARCHAR') THEN 'schema' END AS issue FROM t),
+judged AS (SELECT copy_id, arg_min(goal, line_no) FILTER (WHERE ev = 'open') AS goal, arg_min(tm, line_no) FILTER (WHERE ev = 'open') AS opened_at, count(*) AS frames, arg_min(issue, line_no) FILTER (WHERE issue IS NOT NULL) AS rejected, min(line_no) FILTER (WHERE issue IS NOT NULL) AS line_no FROM g GROUP BY 1),
+told AS (SELECT DISTINCT j.goal, j.opened_at, seq, ev, d::VARCHAR AS body, tm, actor, task, reason, accepted FROM g JOIN judged j USING (copy_id) WHERE rejected IS NULL),
+conflict AS (SELECT goal, opened_at, seq, list_sort(list(DISTINCT ev)) AS kinds, count(*) AS versions FROM told GROUP BY ALL HAVING count(*) > 1)
+"""
+
+
+def run_log_lines(t) -> DataFrame:
+    """Lines of state logs, two copies a user: some have a wrong number, type or member, some differ, one of each two ends torn."""
+    k, n = F.col("k"), (F.col("k") % 4).cast("string")
+    raw = t("events").select("event_id", "user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
+    numbered = raw.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    user, changed = F.col("user_id"), (F.col("copy") == 1) & (F.col("event_id") % 41 == 0)
+    fill = {"{n}": n, "{ok}": F.when(k % 2 == 0, "true").otherwise("false"), "{text}": F.when((k == 98) & (user % 4 == 0), "7").when(changed, '"other"').otherwise('"note"')}
+    text = lambda body: F.concat(*[fill.get(p, F.lit(p)) for p in _pieces(body)])
+    ev = F.when(F.col("rn") == 1, "open").otherwise(_ELEMENT([b[0] for b in _BODIES], k % 9))
+    body = F.when(ev == "open", F.concat(F.lit('"goal_sha256": "'), F.sha2(user.cast("string"), 256), F.lit('", "tier": "routine", "root": "llm", "root_model": "m", "envelope": []')))
+    for name, own in _BODIES:
+        body = body.when(ev == name, text(own))
+    number = F.col("rn") + F.when((user % 11 == 5) & (F.col("rn") > 20), 1).otherwise(0)
+    line = F.concat(
+        F.lit('{"v": 1, "seq": '), number.cast("string"), F.lit(', "ts": "'), F.col("ts"), F.lit('", "by": "'), F.when(k % 5 == 0, "daemon").otherwise("root"), F.lit('", "ev": "'), ev, F.lit('", '), body,
+        F.when((user % 7 == 3) & (F.col("copy") == 1) & (k == 50), ', "extra": 1').otherwise(""), F.lit("}"),
+    )
+    copy = F.concat(F.lit("u"), user.cast("string"), F.lit("-"), F.col("copy").cast("string"))
+    torn = raw.select(F.concat(F.lit("u"), user.cast("string"), F.lit("-1")).alias("copy_id"), F.lit(1_000_000).cast("long").alias("line_no"), F.lit('{"v": 1, "se').alias("raw")).distinct()
+    return numbered.select(copy.alias("copy_id"), F.col("rn").alias("line_no"), line.alias("raw")).unionByName(torn)
+
+
+_iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+
+
+@query("view_state_log_copies", f"{_LINES_SQL} SELECT copy_id, goal, opened_at, frames, rejected, line_no FROM judged")
+def view_state_log_copies(t):
+    """Every copy of a state log: what it opens, and why it is rejected."""
+    return state_log.copies(state_log.frames(run_log_lines(t))).select("copy_id", "goal", _iso("opened_at"), "frames", "rejected", "line_no")
+
+
+@query("view_state_log_conflicts", f"{_LINES_SQL} SELECT goal, opened_at, seq, array_to_string(kinds, ',') AS kinds, versions FROM conflict")
+def view_state_log_conflicts(t):
+    """Numbers at which copies of one run differ."""
+    rows = state_log.frames(run_log_lines(t))
+    return state_log.conflicts(rows, state_log.copies(rows)).select("goal", _iso("opened_at"), "seq", F.array_join("kinds", ",").alias("kinds"), "versions")
+
+
+@query(
+    "view_state_log_outcomes",
+    f"""{_LINES_SQL}, bad AS (SELECT goal, opened_at, flatten(list(kinds)) AS bad FROM conflict GROUP BY ALL),
+    facts AS (SELECT goal, opened_at, count(DISTINCT task) FILTER (WHERE ev = 'admit') AS admit, count(DISTINCT task) FILTER (WHERE ev = 'land') AS land, count(*) FILTER (WHERE ev = 'park') AS park, count(*) FILTER (WHERE ev = 'dispatch') AS dispatch,
+        arg_min(tm, seq) FILTER (WHERE ev = 'close' AND actor = 'root') AS closed_at, arg_min(reason, seq) FILTER (WHERE ev = 'close' AND actor = 'root') AS close_reason FROM told GROUP BY ALL),
+    accepts AS (SELECT goal, opened_at, count(*) FILTER (WHERE ok) AS accept FROM (SELECT goal, opened_at, task, arg_max(accepted, seq) AS ok FROM told WHERE ev = 'accept' GROUP BY ALL) GROUP BY ALL),
+    sizes AS (SELECT goal, opened_at, count(*) FILTER (WHERE rejected IS NULL) AS copies, count(*) FILTER (WHERE rejected IS NOT NULL) AS rejected_copies FROM judged GROUP BY ALL)
+    SELECT goal, opened_at, copies, rejected_copies, CASE WHEN list_contains(bad, 'admit') IS NOT TRUE THEN admit END AS tasks_admitted, CASE WHEN list_contains(bad, 'land') IS NOT TRUE THEN land END AS tasks_landed,
+        CASE WHEN list_contains(bad, 'accept') IS NOT TRUE THEN coalesce(accept, 0) END AS tasks_accepted, CASE WHEN list_contains(bad, 'park') IS NOT TRUE THEN park END AS parks, CASE WHEN list_contains(bad, 'dispatch') IS NOT TRUE THEN dispatch END AS dispatches,
+        CASE WHEN list_contains(bad, 'close') IS NOT TRUE THEN closed_at END AS closed_at, CASE WHEN list_contains(bad, 'close') IS NOT TRUE THEN close_reason END AS close_reason
+    FROM facts LEFT JOIN accepts USING (goal, opened_at) LEFT JOIN bad USING (goal, opened_at) JOIN sizes USING (goal, opened_at)""",
+)
+def view_state_log_outcomes(t):
+    """What each run's log tells of its tasks, as far as its copies agree."""
+    rows = state_log.frames(run_log_lines(t))
+    found = state_log.outcomes(rows, state_log.copies(rows))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("opened_at", "closed_at")})

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators import search
 from loomlog.operators.accept import AcceptSpec, accept_fold
+from loomlog.operators.snippets import snippets
 
 from . import live, state_log
 from .catalogue import query
@@ -213,3 +215,25 @@ def view_state_log_outcomes(t):
     rows = state_log.frames(run_log_lines(t))
     found = state_log.outcomes(rows, state_log.copies(rows))
     return found.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("opened_at", "closed_at")})
+
+
+_ASKED = ((1, "heon erat thou"), (2, "und der die in"), (3, "zzz"))
+_SNIPPETS_SQL = f"""WITH q(query_id, term) AS (SELECT DISTINCT a, unnest(string_split(b, ' ')) FROM (VALUES {", ".join(f"({n}, '{text}')" for n, text in _ASKED)}) v(a, b)),
+p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')) AS piece, unnest(range(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')))) AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, lower(piece) AS term, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n) AS stop, length(piece) AS size FROM p),
+m AS (SELECT query_id, doc_id, term, (stop - size)::BIGINT AS start, stop::BIGINT AS stop FROM s JOIN q USING (term)),
+w AS (SELECT query_id, doc_id, start, stop, list({{'t': term, 's': stop}}) OVER (PARTITION BY query_id, doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 240 FOLLOWING) AS near FROM m),
+f AS (SELECT query_id, doc_id, start, x.t AS term, min(x.s) AS stop FROM (SELECT query_id, doc_id, start, stop AS own, unnest(near) AS x FROM w) WHERE x.s <= start + 240 OR x.s = own GROUP BY ALL),
+b AS (SELECT query_id, doc_id, start, count(*) AS covered, max(stop) AS stop FROM f GROUP BY query_id, doc_id, start QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY count(*) DESC, max(stop) - start, start) = 1),
+c AS (SELECT query_id, doc_id, covered, text, length(text) AS size, greatest(least(start - greatest(240 - (stop - start), 0) // 2, length(text) - 240), 0) AS a, stop FROM b JOIN documents USING (doc_id)),
+e AS (SELECT *, least(greatest(a + 240, stop), size) AS z FROM c)
+SELECT query_id, doc_id, covered::BIGINT AS covered, CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text, a + 1, z - a) || CASE WHEN z < size THEN '...' ELSE '' END AS snippet FROM e"""
+
+
+@query("search_snippets", _SNIPPETS_SQL)
+def search_snippets(t):
+    """For every document that tells a term of a query, the stretch that tells most of them."""
+    docs = t("documents").select("doc_id", "text")
+    asked = docs.sparkSession.createDataFrame(_ASKED, "query_id int, query string")
+    hits = search.bm25(docs, "doc_id", "text", asked)
+    return snippets(hits, docs, "doc_id", "text", asked)

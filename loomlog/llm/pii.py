@@ -35,7 +35,7 @@ _NAMED = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_-]{0,20}[_-])?(?:token|secr
 #: Keys that have a shape of their own, by their public prefixes.
 _SHAPED = re.compile(
     r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bgithub_pat_[A-Za-z0-9_]{22,}|\bglpat-[A-Za-z0-9_-]{20,}|\bxox[abposr]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}"
-    r"|\bsk-[A-Za-z0-9_-]{20,}|\b[sr]k_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|\bsk-[A-Za-z0-9_-]{20,}|\b[sr]k_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----"
 )
 _SHAPES_HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abposr]-|AIza|sk-|k_live_|eyJ|-----BEGIN")
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from loomlog.llm import packing, phrases
+from loomlog.llm import packing, phrases, pii
 from loomlog.llm.shared import told_apart, written
 
 
@@ -59,3 +59,11 @@ def test_stages_with_clashing_columns(spark):
     packed = packing.pack_in_order(docs).collect()
     assert {p.doc_id for p in packed} == {d.doc_id for d in docs.collect()}
     assert packing.pack_in_order(written(docs.limit(0), "none")).collect() == []
+
+
+def test_private_keys_of_any_length(spark):
+    key = lambda n: "-----BEGIN RSA PRIVATE KEY-----\n" + "A1+/" * n + "\n-----END RSA PRIVATE KEY-----"
+    texts = ["key: " + key(100), "a " + key(6_000) + " b " + key(60_000), "-----BEGIN PRIVATE KEY-----" * 4_000, key(5).replace("END", "DONE")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text.count("BEGIN RSA") for r in pii.redacted(docs).select("doc_id", "text").collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 1}

@@ -35,12 +35,22 @@ def mean_vector(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(vector))
 
 
+def vector_of(rows: DataFrame, vector: str) -> list[float]:
+    """The vector of the only row, to ask with; without a row (or a vector) an empty one, which nothing is near to."""
+    row = rows.select(vector).first()
+    return list(row[0]) if row and row[0] is not None else []
+
+
+def _asked(query: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
+
+
 def nearest(rows: DataFrame, id: str, vector: str, query: list[float], k: int, max_distance: float | None = None, digits: int | None = None) -> DataFrame:
     """The k rows of least cosine distance to a query: a scan and a top-k within each task before the final one.
 
     Ties go to the smaller id; with digits, distances are rounded first, so that nearly equal ones tie.
     """
-    distance = F.lit(1.0) - cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
+    distance = F.lit(1.0) - cosine(F.col(vector), _asked(query))
     found = rows.select(id, (distance if digits is None else F.round(distance, digits)).alias("distance"))
     if max_distance is not None:
         found = found.filter(F.col("distance") <= max_distance)
@@ -58,7 +68,7 @@ def similar_pairs(means: DataFrame, key: str, vector: str) -> DataFrame:
 def best_chunks(rows: DataFrame, doc: str, id: str, vector: str, query: list[float], k: int, max_distance: float | None = None, digits: int | None = None) -> DataFrame:
     """(doc, distance): the k nearest documents, each at its best chunk's distance; filters on rows come first, so none is fetched
     in vain."""
-    distance = F.lit(1.0) - cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
+    distance = F.lit(1.0) - cosine(F.col(vector), _asked(query))
     found = rows.select(doc, (distance if digits is None else F.round(distance, digits)).alias("distance")).filter("distance IS NOT NULL")
     best = found.groupBy(doc).agg(F.min("distance").alias("distance"))
     return (best if max_distance is None else best.filter(F.col("distance") <= max_distance)).orderBy("distance", doc).limit(k)

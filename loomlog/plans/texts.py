@@ -182,7 +182,7 @@ _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[]
 def vector_topk(t):
     """The ten nearest vectors to one of them (a report)."""
     e = t("embeddings")
-    asked = e.filter("vec_id = 7").first()["embedding"]
+    asked = vectors.vector_of(e.filter("vec_id = 7"), "embedding")
     return vectors.nearest(e, "vec_id", "embedding", asked, 10).withColumn("distance", F.round("distance", 6))
 
 
@@ -190,7 +190,7 @@ def vector_topk(t):
 def similar_messages(t):
     """Vectors within a radius, at most twenty (a report)."""
     e = t("embeddings")
-    asked = e.filter("vec_id = 7").first()["embedding"]
+    asked = vectors.vector_of(e.filter("vec_id = 7"), "embedding")
     return vectors.nearest(e, "vec_id", "embedding", asked, 20, 0.9).withColumn("distance", F.round("distance", 6))
 
 
@@ -213,7 +213,7 @@ def similar_sessions(t):
 def similar_to_session(t):
     """The five labels whose mean vectors are nearest to one label's (a report)."""
     means = vectors.mean_vector(t("embeddings"), "label", "embedding")
-    asked = vectors.mean_vector(t("embeddings").filter("label = 3"), "label", "embedding").first()["embedding"]
+    asked = vectors.vector_of(vectors.mean_vector(t("embeddings").filter("label = 3"), "label", "embedding"), "embedding")
     return vectors.nearest(means.filter("label <> 3"), "label", "embedding", asked, 5, digits=6)
 
 
@@ -228,7 +228,7 @@ def hybrid_rrf(t):
     docs, e = t("documents"), t("embeddings")
     queries = docs.sparkSession.createDataFrame(QUERIES[1:2], "query_id int, query string")
     words = search.bm25(docs, "doc_id", "text", queries).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
-    near = vectors.nearest(e, "vec_id", "embedding", e.filter("vec_id = 7").first()["embedding"], 50, digits=6).select(F.col("vec_id").alias("id"), F.col("distance").alias("d"))
+    near = vectors.nearest(e, "vec_id", "embedding", vectors.vector_of(e.filter("vec_id = 7"), "embedding"), 50, digits=6).select(F.col("vec_id").alias("id"), F.col("distance").alias("d"))
     # fifty rows each: the rank needs no more than one task
     ranked = lambda df, name, *order: df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
     return search.fused(ranked(words, "rank_a", F.desc("s"), F.col("id")), ranked(near, "rank_b", F.col("d"), F.col("id")), ["id"]).select("id", "rank_a", "rank_b", F.round("score", 8).alias("score"))

@@ -12,7 +12,7 @@ from loomlog.operators.temporal import latest_per_key
 from . import loops, metrics, provenance, sessions, upkeep
 from .catalogue import query
 from .staged import WITH, staged
-from .texts import _TOKENS
+from .texts import _TOKENS, QUERIES, _bm25_sql
 
 NOW = "2024-01-25 00:00:00"
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -75,7 +75,7 @@ def view_why_commit(t):
     s = staged(t)
     tree = s["sessions"].select("agent", "session_uid", F.coalesce("parent_uid", "session_uid").alias("root_uid"), F.col("parent_uid").isNotNull().alias("is_subagent"))
     messages = s["messages"].withColumn("message_class", F.when(F.col("message_class") == "injected", "subagent_brief").otherwise(F.col("message_class")))
-    prefix = commits.agg(F.min("sha")).first()[0][:7]
+    prefix = (commits.agg(F.min("sha")).first()[0] or "")[:7]
     return provenance.why(prefix, events, tree, messages, commits, runs).withColumn("ts", F.unix_micros("ts"))
 
 
@@ -187,13 +187,13 @@ def view_parents_and_roots(t):
 
 @query(
     "view_path_ends",
-    """WITH n AS (SELECT page_id AS name_id, regexp_extract(url, '//(.*)$', 1) AS rest FROM pages WHERE page_id % 9 = 0), m AS (SELECT name_id, substr(rest, strpos(rest, '/') + 1) AS name FROM n)
+    """WITH n AS (SELECT page_id AS name_id, regexp_extract(url, '//(.*)$', 1) AS rest FROM pages), m AS (SELECT name_id, substr(rest, strpos(rest, '/') + 1) AS name FROM n)
     SELECT page_id, name_id FROM pages JOIN m ON ends_with(url, '/' || name)""",
 )
 def view_path_ends(t):
     """Which paths end with which names: a pattern join as an equality on the paths' ends."""
     rest = F.regexp_extract("url", "//(.*)$", 1)
-    named = t("pages").filter("page_id % 9 = 0").select(F.col("page_id").alias("name_id"), F.substr(rest, F.locate("/", rest) + 1).alias("name"))
+    named = t("pages").select(F.col("page_id").alias("name_id"), F.substr(rest, F.locate("/", rest) + 1).alias("name"))
     return links.ending_with(t("pages").select("page_id", "url"), named, "url", "name").select("page_id", "name_id")
 
 
@@ -546,22 +546,28 @@ _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[]
 def view_vector_ranks(t):
     """The thirty nearest texts of some classes, each by its best chunk, ranked by vectors alone (a report)."""
     e = t("embeddings")
-    asked = e.filter("vec_id = 7").first()["embedding"]
+    asked = vectors.vector_of(e.filter("vec_id = 7"), "embedding")
     best = vectors.best_chunks(e.filter(F.col("label").isin(1, 2, 3, 4)).withColumn("doc", F.floor(F.col("vec_id") / 3)), "doc", "vec_id", "embedding", asked, 30, digits=6)
     return vectors.vector_ranks(best, "doc").select("doc", F.col("rank").cast("long").alias("rank"), F.round("score", 8).alias("score"))
 
 
+_NEAR = _COS.replace("vec_id = 7", "vec_id = 14")
+
+
 @query(
     "view_four_list_fusion",
-    f"""WITH l AS (SELECT page_id AS id, 0 AS list, row_number() OVER (ORDER BY page_id) AS rank, 1.0 AS w FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 1, row_number() OVER (ORDER BY page_id DESC), 0.7 FROM pages WHERE page_id % 3 = 0
-    UNION ALL SELECT page_id, 2, row_number() OVER (ORDER BY url, page_id), 1.0 FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 3, row_number() OVER (ORDER BY url DESC, page_id), 0.7 FROM pages WHERE page_id % 7 = 0)
-    SELECT id, round(sum(w / (60 + rank)), 8) AS score, min(rank) FILTER (WHERE list = 0) AS rank_0, min(rank) FILTER (WHERE list = 1) AS rank_1, min(rank) FILTER (WHERE list = 2) AS rank_2, min(rank) FILTER (WHERE list = 3) AS rank_3 FROM l GROUP BY 1""",
+    f"""WITH w AS ({_bm25_sql("any")}), l AS (SELECT doc_id AS id, query_id - 1 AS list, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, CASE query_id WHEN 1 THEN 1.0 ELSE 0.7 END AS w FROM w WHERE query_id <= 2 QUALIFY rank <= 50
+    UNION ALL SELECT * FROM (SELECT vec_id, 2, row_number() OVER (ORDER BY round(1 - {_COS}, 6), vec_id) AS rank, 1.0 FROM embeddings) WHERE rank <= 50 UNION ALL SELECT * FROM (SELECT vec_id, 3, row_number() OVER (ORDER BY round(1 - {_NEAR}, 6), vec_id) AS rank, 0.7 FROM embeddings) WHERE rank <= 50)
+    SELECT id, round(sum(w / (60 + rank)), 8) AS score, min(rank) FILTER (list = 0) AS rank_0, min(rank) FILTER (list = 1) AS rank_1, min(rank) FILTER (list = 2) AS rank_2, min(rank) FILTER (list = 3) AS rank_3 FROM l GROUP BY 1""",
 )
 def view_four_list_fusion(t):
-    """Four ranked lists, two of words and two of vectors, fused by rank."""
-    p = t("pages").select(F.col("page_id").alias("id"), "url")
-    rank = lambda df, *order: df.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long").alias("rank"))  # noqa: E731  (lists of a search's length)
-    lists = [(rank(p.filter("id % 2 = 0"), "id"), 1.0), (rank(p.filter("id % 3 = 0"), F.desc("id")), 0.7), (rank(p.filter("id % 5 = 0"), "url", "id"), 1.0), (rank(p.filter("id % 7 = 0"), F.desc("url"), "id"), 0.7)]
+    """Four ranked lists of fifty, two of words and two of vectors, fused by rank."""
+    docs, e = t("documents"), t("embeddings")
+    said = search.bm25(docs, "doc_id", "text", docs.sparkSession.createDataFrame(QUERIES[:2], "query_id int, query string")).select("query_id", F.col("doc_id").alias("id"), F.round("score", 6).alias("s"))
+    # each list is cut by a top-k within tasks first, so fifty rows are ranked in one
+    rank = lambda df, *order: df.orderBy(*order).limit(50).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")).select("id", "rank")
+    near = lambda id_: vectors.nearest(e, "vec_id", "embedding", vectors.vector_of(e.filter(F.col("vec_id") == id_), "embedding"), 50, digits=6).withColumnRenamed("vec_id", "id")
+    lists = [(rank(said.filter(F.col("query_id") == q), F.desc("s"), F.col("id")), w) for q, w in ((1, 1.0), (2, 0.7))] + [(rank(near(i), F.col("distance"), F.col("id")), w) for i, w in ((7, 1.0), (14, 0.7))]
     return search.fused_lists(lists, ["id"]).withColumn("score", F.round("score", 8))
 
 

@@ -56,3 +56,11 @@ def test_blocks_of_queries_and_nothing(spark, tmp_path, monkeypatch):
     got = vector_index.search(spark, str(tmp_path / "a"), asked, "id", k=3).groupBy("query_id").agg(F.count("*").alias("n")).collect()
     assert {(r.query_id, r.n) for r in got} == {(i, 3) for i in range(40)}
     assert vector_index.search(spark, str(tmp_path / "a"), asked.limit(0), "id").collect() == []
+
+
+def test_nobody_to_ask_with(spark):
+    from loomlog.operators import vectors
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "id int, vector array<double>")
+    assert vectors.vector_of(rows.filter("id = 2"), "vector") == [] and vectors.vector_of(rows, "vector") == [1.0, 0.0]
+    assert vectors.nearest(rows, "id", "vector", [], 3).collect() == []

@@ -1,18 +1,15 @@
 """Joins by paths, positions and intervals, and the links between sessions that they give.
 
-Pattern joins are equi-joins on what the pattern fixes: the ends of a path, a file and a byte, a bucket of time.
+Pattern joins are equi-joins on what the pattern fixes: the ends of a path, a file and a byte, a slot of time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lineage
 
-#: Seconds of a bucket of an interval join.
-BUCKET = 3600
-
 
 def path_ends(path: Column) -> Column:
     """Every end of a path after one of its slashes, the shortest last."""
@@ -39,19 +36,39 @@ def at_position(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["path", "byte_offset"])
 
 
-def started_inside(children: DataFrame, intervals: DataFrame, start: str, begin: str, end: str, child_path: str, path: str, tie: str, bucket: int = BUCKET) -> DataFrame:
+def _folders(path: Column) -> Column:
+    """The path and every folder above it: what stands before each of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def started_inside(children: DataFrame, intervals: DataFrame, start: str, begin: str, end: str, child_path: str, path: str, tie: str) -> DataFrame:
     """Each child row with the interval (struct hit) in which it starts and in whose folder it works; of several the latest.
 
-    Intervals are laid into buckets of time and children meet those of their own bucket; folders agree if the child's is the
-    interval's or lies below it.
+    Children and intervals meet on folders (the child's is the interval's or lies below it) and slots of time, 4^level microseconds long, where
+    the level goes by what the interval lasts, so that it touches 2 to 5 slots. Of those that fill a slot only the latest counts; of those
+    that begin in it, the latest begun before the child; of those that end in it, the latest that ends after the child. So no pairs are made.
     """
-    of = lambda c: F.floor(F.unix_seconds(F.col(c)) / bucket)
-    wide = intervals.select(F.struct(*intervals.columns).alias("hit"), F.explode(F.sequence(of(begin), F.greatest(of(begin), of(end)))).alias("_b"))
-    near = children.withColumn("_b", of(start)).join(wide, "_b").drop("_b")
-    h = lambda c: F.col(f"hit.{c}")
-    inside = (F.col(start) >= h(begin)) & (F.col(start) <= h(end)) & ((F.col(child_path) == h(path)) | F.col(child_path).startswith(F.concat(h(path), F.lit("/"))))
-    best = near.filter(inside).groupBy(*children.columns).agg(F.max_by("hit", F.struct(h(begin), h(tie))).alias("hit"))
-    return best
+    lasts = F.unix_micros(end) - F.unix_micros(begin)
+    new = F.struct(F.struct(F.col(begin).alias("begin"), F.col(tie).alias("tie")).alias("order"), F.struct(*intervals.columns).alias("hit"))
+    spans = intervals.filter((lasts >= 0) & F.col(path).isNotNull()).select(
+        F.col(path).alias("_folder"), F.floor((F.length(F.bin(lasts)) - 1) / 2).cast("int").alias("_level"), F.unix_micros(begin).alias("_from"), F.unix_micros(end).alias("_to"), new.alias("_new")
+    )
+    slot = lambda at: F.expr(f"shiftright({at}, 2 * _level)")
+    place, latest = ["_folder", "_level", "_slot"], F.max_by("_new", "_new.order")
+    touched = spans.withColumns({"_first": slot("_from"), "_last": slot("_to")}).withColumn("_slot", F.explode(F.sequence("_first", "_last")))
+    begins, ends = ((F.col("_level") > 0) & (F.col("_slot") == F.col(c)) for c in ("_first", "_last"))
+    nothing = F.lit(None).cast(spans.schema["_new"].dataType)
+    edges = touched.filter(begins | ends).select(*place, F.when(begins, F.col("_from")).otherwise(F.col("_to")).alias("_at"), F.when(begins, F.col("_new")).alias("_soon"), F.when(ends, F.col("_new")).alias("_late"))
+    filled = touched.filter(~(begins | ends)).groupBy(*place).agg(latest.alias("_soon")).select(*place, F.lit(-(2**63)).alias("_at"), "_soon", nothing.alias("_late"))
+    # a child looks at the levels that the intervals of a folder have
+    own = children.select(F.struct(*children.columns).alias("_child"), F.unix_micros(start).alias("_at"), F.explode(_folders(F.col(child_path))).alias("_folder")).filter("_at IS NOT NULL")
+    asked = own.join(spans.select("_folder", "_level").distinct(), "_folder").select(*place[:2], slot("_at").alias("_slot"), "_at", nothing.alias("_soon"), nothing.alias("_late"), "_child")
+    met = asked.unionByName(edges, allowMissingColumns=True).unionByName(filled, allowMissingColumns=True)
+    last = lambda c, *order: F.max_by(c, f"{c}.order").over(Window.partitionBy(*place).orderBy(*order))  # noqa: E731  rows of one time see each other
+    seen = met.withColumns({"_before": last("_soon", F.asc("_at")), "_after": last("_late", F.desc("_at"))}).filter("_child IS NOT NULL")
+    found = seen.select("_child", F.explode(F.array("_before", "_after")).alias("_new")).filter("_new IS NOT NULL")
+    return found.groupBy("_child").agg(latest.alias("_new")).select("_child.*", F.col("_new.hit").alias("hit"))
 
 
 def parents_and_roots(sessions: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Links between sessions and spawns on rows written here, and runs' parsers."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,28 @@ def test_briefs_and_garbage(spark):
     count = lambda **k: upkeep.garbage(stored, none, "2026-03-01", 30, **k).count()
     assert count(chunks_reset="2026-01-01") == 1
     assert count() == count(chunks_reset="2026-01-01", backlog=True) == count(chunks_reset="2026-02-27") == 0
+
+
+def test_started_inside_against_a_plain_search(spark):
+    """Intervals of all lengths (none, microseconds, days, backward), equal times, folders above; and as many rows as go in, not pairs."""
+    r = random.Random(11)
+    t0 = dt.datetime(2026, 1, 1)
+    at = lambda: t0 + dt.timedelta(microseconds=r.choice([r.randrange(50), r.randrange(10**4), r.randrange(10**8), r.randrange(3 * 10**11)]))
+    paths = ["/a", "/a/b", "/a/b/c", "/ab", "a//x", "a/", "", None]
+    children = [(i, at(), r.choice(paths)) for i in range(300)] + [(900, None, "/a")]
+    intervals = [(i, b, b + dt.timedelta(microseconds=r.choice([-5, 0, 1, 3, 4, 17, 900, 10**5, 10**7, 10**9, 10**11])), r.choice([*paths, "a"])) for i in range(400) for b in [at()]] + [(901, t0, None, "/a")]
+    intervals += [(1000 + i, c[1], c[1] + dt.timedelta(seconds=i), c[2]) for i, c in enumerate(children[:20])]
+    given = spark.createDataFrame(children, "id int, s timestamp, p string"), spark.createDataFrame(intervals, "n int, b timestamp, e timestamp, f string")
+    found = links.started_inside(*given, "s", "b", "e", "p", "f", "n")
+    want = {}
+    for id, s, p in children:
+        inside = [(b, n) for n, b, e, f in intervals if None not in (s, p, e, f) and b <= s <= e and (p == f or p.startswith(f + "/"))]
+        if inside:
+            want[id] = max(inside)[1]
+    assert {x.id: x.hit.n for x in found.collect()} == want and len(want) > 100
+    many = spark.range(3000).select((F.col("id") * 0).cast("timestamp").alias("b"), F.timestamp_seconds(F.col("id") * 0 + 60).alias("e"), F.concat(F.lit("/a"), F.col("id") % 1).alias("f"), F.col("id").alias("n"))
+    born = spark.range(3000).select("id", F.timestamp_micros(F.col("id") * 1000).alias("s"), F.concat(F.lit("/a"), F.col("id") % 1).alias("p"))
+    plan = links.started_inside(born, many, "s", "b", "e", "p", "f", "n")
+    assert {x.hit.n for x in plan.collect()} == {2999}
+    joins = [line for line in plan._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "[_folder#" in joins[0] and "_slot" not in joins[0]  # the only join tells a folder's levels

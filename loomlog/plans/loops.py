@@ -126,13 +126,46 @@ def tasks_done(loops: DataFrame, done: DataFrame, scanned: DataFrame) -> DataFra
 
     loops: loop_id, repo, launched_at, cutoff; done: repo, task_key, done_at; scanned: repo.
     """
-    inside = (F.col("done_at") >= F.col("launched_at")) & (F.col("cutoff").isNull() | (F.col("done_at") < F.col("cutoff")))
-    counted = loops.join(done, "repo").filter(inside).groupBy("loop_id").agg(F.countDistinct("task_key").alias("_n"))
     known = scanned.select("repo", F.lit(True).alias("_scanned")).distinct()
-    met = loops.join(known, "repo", "left").join(counted, "loop_id", "left")
+    seen = loops.join(known, "repo", "left")
+    window = ["repo", "launched_at", "cutoff"]
+    counted = _distinct_inside(seen.filter("_scanned AND launched_at IS NOT NULL").select(*window).distinct(), done)
+    met = seen.alias("s").join(counted.alias("c"), (F.col("s.repo") == F.col("c.repo")) & (F.col("s.launched_at") == F.col("c.launched_at")) & F.col("s.cutoff").eqNullSafe(F.col("c.cutoff")), "left")
     return met.select("loop_id", F.when(F.col("_scanned"), F.coalesce("_n", F.lit(0))).alias("tasks_done"))
 
 
+def _distinct_inside(windows: DataFrame, done: DataFrame) -> DataFrame:
+    """windows (repo, launched_at, cutoff: distinct) with _n: how many distinct tasks of done are done inside. No window meets a task.
+
+    A window holds as many tasks as times at which one is done, less the times before which the same task was done in it too. Both are
+    sums over points (x, y): x from the launch on, y before the cutoff, with weight 1 at (time, time) and -1 at (time before, time). Times
+    matter only by their place among launches and cutoffs, so x is the number of launches so far and y the next cutoff; equal points are added.
+    Launches are cut into blocks of 1, 2, 4, ... that begin at an odd multiple: a point lies in a block for each bit of x, a window has a
+    block for each bit that is 0 in the launches before it, and in a block points are added in the order of y.
+    """
+    times = done.filter("repo IS NOT NULL AND task_key IS NOT NULL AND done_at IS NOT NULL").select("repo", "task_key", F.col("done_at").alias("at")).distinct().join(windows.select("repo").distinct(), "repo", "left_semi")
+    launches = windows.select("repo", F.col("launched_at").alias("at")).distinct()
+    by_repo = Window.partitionBy("repo")
+    marked = times.unionByName(launches.withColumn("launch", F.lit(1)), allowMissingColumns=True).unionByName(windows.filter("cutoff IS NOT NULL").select("repo", F.col("cutoff").alias("at"), F.col("cutoff").alias("end")).distinct(), allowMissingColumns=True)
+    # a launch at a point's own time is before it, a cutoff at its own time isn't after it
+    so_far = F.count("launch").over(by_repo.orderBy("at"))
+    ahead = F.min("end").over(by_repo.orderBy(F.desc("at"), F.col("end").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = marked.withColumns({"x": so_far, "y": ahead})
+    starts = placed.filter("launch = 1").select("repo", F.col("at").alias("launched_at"), (F.col("x") - 1).alias("_before"))
+    lasts = starts.groupBy("repo").agg(F.max("_before").alias("_most"))
+    told = placed.filter("task_key IS NOT NULL").withColumn("earlier", F.lag("x", 1, 0).over(Window.partitionBy("repo", "task_key").orderBy("at")))
+    corners = told.select("repo", "y", F.explode(F.array(F.struct("x", F.lit(1).alias("w")), F.struct(F.col("earlier").alias("x"), F.lit(-1).alias("w")))).alias("p")).filter("p.x > 0")
+    points = corners.groupBy("repo", "p.x", "y").agg(F.sum("p.w").alias("w")).filter("w <> 0")
+    bits = lambda most: F.sequence(F.lit(0), F.length(F.bin(most)))
+    block = F.expr("shiftright(x, level)")
+    in_blocks = points.withColumn("level", F.explode(bits(F.col("x")))).withColumn("block", block).filter("block % 2 = 1").groupBy("repo", "level", "block", "y").agg(F.sum("w").alias("w"))
+    asked = windows.join(starts, ["repo", "launched_at"]).join(lasts, "repo").withColumnRenamed("_before", "x").withColumn("level", F.explode(bits(F.col("_most") + 1))).withColumn("block", block + 1).filter("block % 2 = 1")
+    both = in_blocks.unionByName(asked.select("repo", "level", "block", F.col("cutoff").alias("y"), "launched_at"), allowMissingColumns=True)
+    in_order = Window.partitionBy("repo", "level", "block").orderBy(F.asc_nulls_last("y"), F.col("launched_at").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumn("_n", F.sum("w").over(in_order)).filter("launched_at IS NOT NULL")
+    return summed.groupBy("repo", "launched_at", F.col("y").alias("cutoff")).agg(F.sum("_n").alias("_n"))
+
+
 def stalls(roots: DataFrame, children: DataFrame, now, live_minutes: int = 25, flight_minutes: int = 60) -> DataFrame:
     """(root, stalled, seconds): live roots of loops without a child in flight, and since when.
 

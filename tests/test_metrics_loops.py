@@ -1,6 +1,8 @@
 """Metric families and orchestration runs."""
 
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,3 +45,23 @@ def test_loops(spark):
     assert p == {1: (2, 8, 10), 2: (1, 5, None)}
     tree = spark.createDataFrame([("a", False, False, True, False), ("a", True, False, False, False), ("b", False, False, False, False)], "root string, launched boolean, workflow boolean, spawned boolean, lane boolean")
     assert {r.root: r.kind for r in loops.orchestration_kind(tree).collect()} == {"a": "loop", "b": "solo"}
+
+
+def test_tasks_done_against_a_plain_count(spark):
+    """Windows that overlap, are empty, have no end or no begin; times that are equal; repositories never scanned."""
+    r = random.Random(5)
+    at = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=n)
+    launched = [(i, r.choice(["a", "b", "c", "d", None]), at(r.randrange(60)), r.choice([None, at(r.randrange(70))])) for i in range(200)] + [(900, "a", None, None), (901, "a", at(5), at(5))]
+    done = [(r.choice(["a", "b", "c", None]), r.choice([None, *(f"T-{i}" for i in range(9))]), r.choice([None, *(at(r.randrange(70)) for _ in range(9))])) for _ in range(300)]
+    given = spark.createDataFrame(launched, "loop_id int, repo string, launched_at timestamp, cutoff timestamp"), spark.createDataFrame(done, "repo string, task_key string, done_at timestamp"), spark.createDataFrame([("a",), ("b",), ("b",), ("d",)], "repo string")
+    found = loops.tasks_done(*given)
+    want = {}
+    for id, repo, begin, end in launched:
+        want[id] = len({t for p, t, x in done if p == repo and t and x and begin and x >= begin and (end is None or x < end)}) if repo in ("a", "b", "d") else None
+    assert {x.loop_id: x.tasks_done for x in found.collect()} == want and max(n or 0 for n in want.values()) == 9
+    # many windows over many times: as many rows as go in times their bits, not pairs
+    span = spark.range(8000).select("id", F.concat(F.lit("r"), F.col("id") % 1).alias("repo"), F.timestamp_seconds("id").alias("launched_at"), F.timestamp_seconds(F.col("id") + 4000).alias("cutoff")).withColumnRenamed("id", "loop_id")
+    told = spark.range(8000).select(F.concat(F.lit("r"), F.col("id") % 1).alias("repo"), (F.col("id") % 5000).cast("string").alias("task_key"), F.timestamp_seconds("id").alias("done_at"))
+    began = time.time()
+    assert loops.tasks_done(span, told, told.select("repo")).agg(F.sum("tasks_done")).first()[0] == sum(min(4000, 8000 - i) for i in range(8000))
+    assert time.time() - began < 60

@@ -118,3 +118,13 @@ def test_bm25_asks_for_every_distinct_term(spark, monkeypatch):
         q = spark.createDataFrame(many + extra, "query_id int, query string")
         found = {(r.query_id, r.id) for r in search.bm25(docs, "id", "t", q).collect()}
         assert found == {(i, d) for i in range(50) for d in range(6)} | {(99, 0)}
+
+
+def test_ancestors_within_steps(spark):
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100), (200, 999)]
+    df = spark.createDataFrame(rows, "id int, parent int")
+    for most in (1, 2, 5, 16, 20):
+        got = {r.id: (r.root, r.depth) for r in lineage.ancestors(df, "id", "parent", most).collect()}
+        assert all(got[i] == (max(i - most, 0), min(i, most)) for i in range(40)) and got[200] == (200, 0) and got[100] == (100 + most % 2, most)
+    got = {r.id: (r.root, r.depth) for r in lineage.roots(df, "id", "parent", 20).collect()}
+    assert all(got[i] == ((0, i) if i <= 20 else (None, None)) for i in range(40)) and got[100] == (None, None)

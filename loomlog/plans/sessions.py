@@ -125,9 +125,9 @@ def rollup(sessions: DataFrame, messages: DataFrame, calls: DataFrame, tool_call
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts}).withColumn("project", names.project_of(F.col("cwd")))
 
 
-def session_tree(sessions: DataFrame, rolled: DataFrame) -> DataFrame:
-    """Totals of each root session over its descendants."""
-    tops = lineage.roots(sessions, "session_uid", "parent_uid")
+def session_tree(sessions: DataFrame, rolled: DataFrame, max_depth: int = lineage.MAX_DEPTH) -> DataFrame:
+    """Totals of each root session over its descendants, up to max_depth steps below it; those of deeper ones and of cycles by a null root."""
+    tops = lineage.roots(sessions, "session_uid", "parent_uid", max_depth)
     return rolled.join(tops, "session_uid").groupBy("root").agg(F.count("*").alias("sessions"), F.max("depth").alias("depth"), F.sum("calls").alias("calls"), F.sum("output_tokens").alias("output_tokens"), F.sum("tool_calls").alias("tool_calls"))
 
 

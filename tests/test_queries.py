@@ -34,3 +34,18 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin" not in plan("notify_lag_asof_forward") and "CartesianProduct" not in plan("before_after_windows")
     who = plan("who_touched")
     assert "StringStartsWith(p_name,red)" in who and "p_retailprice" not in who.split("== Physical Plan ==")[1]
+
+
+def test_chains_longer_than_sixteen_steps(spark, tmp_path):
+    """Trees whose deepest nodes are 17 to 22 steps below their root equal their SQL."""
+    import duckdb
+
+    con, deep = duckdb.connect(), [0, *(2**i for i in range(22)), 7, 14, 21, 10**6]
+    spark.createDataFrame([(k,) for k in deep], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    events = [(n * 10 + i, u, kind) for n, u in enumerate(deep) for i, kind in enumerate(("click", "signup", "error"))]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string").selectExpr("*", "timestamp_seconds(1704067200 + event_id) AS ts", "5.0D AS value", "'{\"k\": 7}' AS props")
+    df.selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("customer", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("lineage_recursive", "view_lineage_roots", "view_session_tree"):
+        assert rows_of(library.queries()[name](spark, str(tmp_path))) == rows_of_sql(con, library.oracle_sql()[name])

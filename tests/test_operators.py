@@ -128,3 +128,24 @@ def test_ancestors_within_steps(spark):
         assert all(got[i] == (max(i - most, 0), min(i, most)) for i in range(40)) and got[200] == (200, 0) and got[100] == (100 + most % 2, most)
     got = {r.id: (r.root, r.depth) for r in lineage.roots(df, "id", "parent", 20).collect()}
     assert all(got[i] == ((0, i) if i <= 20 else (None, None)) for i in range(40)) and got[100] == (None, None)
+
+
+def test_shapes_that_cannot_match_are_not_searched():
+    """Spans are those of a search for every shape, texts without any of a shape's marks are searched for few, and short ones are not laid out."""
+    r = random.Random(3)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abXYZ0189") for _ in range(n))
+    parts = [
+        lambda: "cfk_" + mixed(22), lambda: "sk-ant-" + mixed(24), lambda: "github_pat_" + mixed(20), lambda: "glc_" + mixed(20), lambda: "glsa_" + mixed(20), lambda: "AKIA" + "A1B2" * 4, lambda: "xoxb-" + mixed(12), lambda: "nbt_" + mixed(8) + "." + mixed(20), lambda: "pk-live-" + mixed(16), lambda: "AIza" + mixed(35),
+        lambda: "hvs." + mixed(24), lambda: "tskey-" + mixed(10), lambda: "dt0c01." + "A1" * 12 + "." + "B2" * 32, lambda: "NRAK-" + "A1B" * 9, lambda: "eyJ" + mixed(8) + "." + mixed(8) + "." + mixed(8), lambda: "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----",
+        lambda: r.choice(["Bearer ", "TOKEN\n", "baſic ", "toKen "]) + mixed(20), lambda: r.choice(["password=", "Api-Key: ", "apikey = ", "acceſſ_key:", "client_secret='", "credentials = ", "PWD=", "prıvate_key=", "api_key_x="]) + mixed(7), lambda: "abc1Q~" + mixed(31), lambda: " s." + mixed(24),
+        lambda: " -u me:" + mixed(5), lambda: "http://a:" + mixed(5) + "@h/", lambda: "\nh:5432:d:u:" + mixed(6) + "\n", lambda: hexes(r.choice([31, 32, 37, 40, 48])), lambda: mixed(44) + "cd12", lambda: "plain words. ä中 ends.\n\n", lambda: "x" * 45,
+    ]
+    for n in range(600):
+        x = r.choice([" ", "\n", "", "'"]).join(r.choice(parts)() for _ in range(1 + n % 5))
+        every = [m.span(p.groups) for p in text.SECRETS for m in p.finditer(x)] + [m.span() for m in text.BLOB.finditer(x) if text._looks_random(m[0])]
+        inside = {i for a, b in every for i in range(a, b)}
+        assert {i for a, b in text.secret_spans(x) for i in range(a, b)} == inside
+    assert len(list(text._possible("plain words, one after another. " * 50))) <= 2
+    layout = text._Layout("word " * 100)
+    assert layout.window(0, 6000, 3000) == 500 and "secrets" not in vars(layout) and not layout.found

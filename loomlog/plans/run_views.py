@@ -168,7 +168,8 @@ def run_log_lines(t) -> DataFrame:
     user, changed = F.col("user_id"), (F.col("copy") == 1) & (F.col("event_id") % 41 == 0)
     fill = {"{n}": n, "{ok}": F.when(k % 2 == 0, "true").otherwise("false"), "{text}": F.when((k == 98) & (user % 4 == 0), "7").when(changed, '"other"').otherwise('"note"')}
     text = lambda body: F.concat(*[fill.get(p, F.lit(p)) for p in _pieces(body)])
-    ev = F.when(F.col("rn") == 1, "open").otherwise(_ELEMENT([b[0] for b in _BODIES], k % 9))
+    numbered = numbered.withColumn("ev", F.when(F.col("rn") == 1, "open").otherwise(_ELEMENT([b[0] for b in _BODIES], k % 9)))
+    ev = F.col("ev")
     body = F.when(ev == "open", F.concat(F.lit('"goal_sha256": "'), F.sha2(user.cast("string"), 256), F.lit('", "tier": "routine", "root": "llm", "root_model": "m", "envelope": []')))
     for name, own in _BODIES:
         body = body.when(ev == name, text(own))

@@ -55,3 +55,24 @@ def test_cohorts(spark):
     assert (out.copies, out.rejected_copies, out.tasks_admitted, out.tasks_landed, out.tasks_accepted, out.parks, out.dispatches, out.closed_at) == (4, 1, 1, 1, 1, None, 0, None)
     nothing = state_log.frames(made(spark, {"x": ["{}"]}).limit(0))
     assert state_log.outcomes(nothing, state_log.copies(nothing)).collect() == []
+
+
+def test_lines_are_read_once_a_pass(spark):
+    """However many figures a run has, its lines are parsed for what they tell and for what their copies are, not once a figure."""
+    rows = state_log.frames(made(spark, {"one": log(OPEN, PARK)}).repartition(2))
+    plan = state_log.outcomes(rows, state_log.copies(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("LogicalRDD") <= 3
+
+
+def test_odd_members(spark):
+    """Names that look like others' types, types of nested members, null elements, empty texts: as strict as by members one by one."""
+    back = {"ev": "return", "lane": "l", "run": "r", "status": "failed"}
+    review = {"ran": True, "major": 1, "unreviewed": 0}
+    cases = {
+        "name": (PARK | {"lane: STRING, until": "x"}, False), "kind": ({"ev": "park needs: STRING,", "task": "t", "reason": "r"}, False), "more": (back | {"coderabbit": review | {"note": "", "of": {"x": [1, {"y": None}]}}}, True), "own": (back | {"coderabbit": review, "x": {"a": 1}}, False),
+        "beside": (back | {"coderabbit": {"x": 1}, "questions": ["a"]}, False), "hole": (back | {"questions": ["a", None]}, False), "null": (back | {"questions": ["null"]}, True), "void": (back | {"questions": []}, True), "sha": (back | {"sha": ""}, False), "big": (back | {"exit": 2**70}, False),
+        "path": (back | {"artifact": "/x\0"}, False), "root": (back | {"artifact": "/x"}, True), "owned": ({"ev": "admit", "task": "t", "source": "envelope", "owned": ["a", None], "accept": "x"}, True), "text": ({"ev": "admit", "task": "t", "source": "envelope", "owned": "", "accept": "x"}, False),
+        "close": ({"ev": "close", "reason": "ci-red"}, False), "revert": ({"ev": "revert", "sha": "s", "reverted_by": "b", "reason": "ci-red"}, True), "beat": ({"ev": "heartbeat", "at": {"x": ""}}, True), "beats": ({"ev": "heartbeat", "on": 1}, False), "word": (PARK | {"needs": None}, False),
+    }
+    found = {r.copy_id: r.rejected for r in state_log.copies(state_log.frames(made(spark, {n: log(OPEN, c) for n, (c, _) in cases.items()}))).collect()}
+    assert found == {n: None if good else "schema" for n, (_, good) in cases.items()}

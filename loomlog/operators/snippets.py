@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import plain_tokens
+from loomlog.session import spread
+
+from .search import MOST_TERMS, plain_tokens
 
 #: Characters of a snippet, without the dots that tell that it is cut.
 WIDTH = 240
+#: Pieces whose places are summed up together.
+BLOCK = 256
 PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 
@@ -21,12 +25,25 @@ def term_places(hits: DataFrame, docs: DataFrame, id: str, text: str, queries: D
     """(query_id, id, term, start, stop): every place, in characters from 0, at which a hit (query_id, id) tells a term of its query."""
     terms = queries.select("query_id", F.explode(F.array_distinct(plain_tokens(F.col("query")))).alias("term"))
     asked = hits.select("query_id", F.col(id).alias("id")).distinct()
-    # texts of hits alone, each once, however many queries it is a hit of
-    own = docs.select(F.col(id).alias("id"), F.col(text).alias("_text")).join(asked.select("id").distinct(), "id", "left_semi").filter("_text IS NOT NULL")
-    pieces = own.select("id", F.posexplode(F.regexp_extract_all("_text", F.lit(PIECES), F.lit(0))).alias("_n", "_piece"))
-    w = Window.partitionBy("id").orderBy("_n")
-    placed = pieces.withColumn("stop", F.sum(F.length("_piece")).over(w)).withColumn("start", F.col("stop") - F.length("_piece"))
-    return placed.withColumn("term", F.lower("_piece")).join(terms, "term").join(asked, ["query_id", "id"]).select("query_id", "id", "term", "start", "stop")
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    counts = (lambda x: F.lit(True)) if len(wanted) > MOST_TERMS else (lambda x: F.lower(x).isin(*wanted))
+    own = spread(docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))).filter("_text <> ''")
+    pieces = own.select("id", F.regexp_extract_all("_text", F.lit(PIECES), F.lit(0)).alias("_p"))
+    # places are summed up where the text is, in blocks whose own places are few; of the pieces only those of asked terms leave the row
+    size = F.size("_p")
+    blocks = pieces.filter(size > 0).select("id", F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda i: F.slice("_p", i * BLOCK + 1, F.lit(BLOCK))).alias("_b"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<term:string,start:bigint,stop:bigint>>").alias("told"))
+
+    def with_piece(seen, x):
+        stop = seen["at"] + F.length(x)
+        new = F.array(F.struct(F.lower(x).alias("term"), seen["at"].alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), F.when(counts(x), F.concat(seen["told"], new)).otherwise(seen["told"]).alias("told"))
+
+    summed = blocks.select("id", F.transform("_b", lambda b: F.aggregate(b, none, with_piece)).alias("_s"))
+    begins = F.aggregate("_s", F.array(F.lit(0).cast("long")), lambda ends, s: F.concat(ends, F.array(F.element_at(ends, -1) + s["at"])))
+    placed = summed.select("id", F.explode(F.arrays_zip(F.col("_s"), begins.alias("_at"))).alias("_z")).filter("_z._s IS NOT NULL").select("id", F.col("_z._at").alias("_at"), F.explode("_z._s.told").alias("_t"))
+    placed = placed.select("id", "_t.term", (F.col("_at") + F.col("_t.start")).alias("start"), (F.col("_at") + F.col("_t.stop")).alias("stop"))
+    return placed.join(terms, "term").join(asked, ["query_id", "id"]).select("query_id", "id", "term", "start", "stop")
 
 
 def best_stretches(places: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -37,3 +37,12 @@ def test_snippets(spark):
         got = {(x.query_id, x.id): (x.covered, x.snippet) for x in snippets.snippets(hits, docs, "id", "text", queries, width).collect()}
         want = {(q, i): found for q, query in asked for i, t in enumerate(texts) if (found := plain(t, query, width))}
         assert got == want
+
+
+def test_pieces_are_not_shuffled(spark):
+    """Words that nobody asked for don't leave their row, and places go on over blocks."""
+    docs = spark.createDataFrame([(1, "été, " * 700 + "beta" + " x" * 900 + " Beta"), (2, ""), (3, None)], "id int, text string")
+    asked = spark.createDataFrame([(1, "beta")], "query_id int, query string")
+    found = snippets.term_places(asked.select("query_id").crossJoin(docs.select("id")), docs, "id", "text", asked)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "beta", 3500, 3504), (1, 1, "beta", 5305, 5309)]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
